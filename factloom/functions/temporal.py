@@ -13,16 +13,16 @@ from pyspark.sql import functions as F
 YEAR = "^[0-9]{4}$"
 MONTH = "^[0-9]{4}-[0-9]{2}$"
 DAY = "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
-INSTANT = "^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(Z|[+-][0-9]{2}:?[0-9]{2})$"
+INSTANT = "^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(Z|[+-][0-9]{2}:[0-9]{2})$"
 LOCAL = "^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,6})?)?$"
 
-#: 0001-01-01T00:00:00Z and 9999-12-31T23:59:59Z.
-FIRST_SECOND, LAST_SECOND = -62135596800, 253402300799
+#: Bounds that no written time reaches: a day before year 1 and after year 9999, for zones shift by hours.
+BEFORE_ALL, AFTER_ALL = -62135596800 - 86400, 253402300799 + 86400
 
 
 def stripped(text: Column) -> Column:
-    """Text without surrounding white space."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Text without surrounding blanks, tabs and line ends."""
+    return F.btrim(text, F.lit(" \t\n\r"))
 
 
 def precision(text: Column) -> Column:
@@ -44,29 +44,18 @@ def is_naive(text: Column) -> Column:
 def earliest_second(text: Column) -> Column:
     """First second (UTC, since 1970) of the year, month, day or instant written.
 
-    Null for null, for any other form, for impossible dates and clock times,
-    for naive instants and for results outside the years 1 to 9999.
+    Null for null, for any other form, for impossible dates and clock times and
+    for naive instants.  Years are 1 to 9999.
     """
     t = stripped(text)
-    day = (
-        F.when(t.rlike(YEAR), F.concat(t, F.lit("-01-01")))
-        .when(t.rlike(MONTH), F.concat(t, F.lit("-01")))
-        .when(t.rlike(DAY) | t.rlike(INSTANT), F.substring(t, 1, 10))
+    whole = (
+        F.when(t < "0001", F.lit(None))
+        .when(t.rlike(INSTANT), t)
+        .when(t.rlike(DAY), F.concat(t, F.lit("T00:00:00Z")))
+        .when(t.rlike(MONTH), F.concat(t, F.lit("-01T00:00:00Z")))
+        .when(t.rlike(YEAR), F.concat(t, F.lit("-01-01T00:00:00Z")))
     )
-    days = F.unix_date(F.when(day >= "0001", day).try_cast("date")).cast("long")
-    number = lambda at, n: F.substring(t, at, n).try_cast("int")
-    hour, minute, second = number(12, 2), number(15, 2), number(18, 2)
-    zone = F.regexp_replace(F.substring(t, 20, 6), ":", "")
-    zone_hour, zone_minute = F.substring(zone, 2, 2).try_cast("int"), F.substring(zone, 4, 2).try_cast("int")
-    offset = F.when(zone == "Z", F.lit(0)).when(
-        (zone_hour < 24) & (zone_minute < 60),
-        F.when(F.startswith(zone, F.lit("-")), -1).otherwise(1) * (zone_hour * 3600 + zone_minute * 60),
-    )
-    clock = F.when(~t.rlike(INSTANT), F.lit(0)).when(
-        (hour < 24) & (minute < 60) & (second < 60), hour * 3600 + minute * 60 + second - offset
-    )
-    at = days * 86400 + clock
-    return F.when(at.between(FIRST_SECOND, LAST_SECOND), at)
+    return F.unix_seconds(whole.try_cast("timestamp"))
 
 
 def written(seconds: Column) -> Column:

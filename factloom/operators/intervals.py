@@ -19,10 +19,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.temporal import FIRST_SECOND, LAST_SECOND
+from factloom.functions.temporal import AFTER_ALL, BEFORE_ALL
 
 #: Stand-ins for open bounds; they lie outside every valid second.
-NO_START, NO_END = FIRST_SECOND - 1, LAST_SECOND + 1
+NO_START, NO_END = BEFORE_ALL, AFTER_ALL
 
 
 def _ranked_boundaries(intervals: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
