@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import normalform, survivors
+from factloom.lineage import cut
+from factloom.llm import mixing, normalform, packing, survivors
+from factloom.llm.tokens import sized
 from factloom.sources.tables import table
 
 
@@ -57,6 +59,50 @@ def p4_many(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Problem 6
+
+
+def _bins(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """The kinds of container, a table that a person writes."""
+    return [(r["bin_name"], r["capacity_tokens"]) for r in table(spark, folder, "pack_bins").collect()]
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = cut(sized(table(spark, folder, "documents"), "doc_id"))
+    found = None
+    for name, capacity in _bins(spark, folder):
+        divided = packing.pack(sizes, [(name, capacity)]).assignment.where("n_pieces > 1 and piece = 0").select(F.lit(name).alias("bin_name"), "doc_id")
+        found = divided if found is None else found.unionByName(divided)
+    return found
+
+
+def p6_assignment(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = cut(sized(table(spark, folder, "documents"), "doc_id"))
+    return packing.pack(sizes, _bins(spark, folder)).assignment
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = cut(sized(table(spark, folder, "documents"), "doc_id"))
+    return packing.fill(packing.pack(sizes, _bins(spark, folder)))
+
+
+# Problem 7
+
+
+def _mixed(spark: SparkSession, folder: str) -> mixing.Mix:
+    targets = table(spark, folder, "mix_targets")
+    documents = table(spark, folder, "documents").join(targets.select("source").distinct(), "source", "left_semi")
+    return mixing.mix(cut(sized(documents, "doc_id", "source")), targets)
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder).records
+
+
+def p7_composition(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.composition(_mixed(spark, folder))
+
+
 _P4_SQL = """
 with f as (
   select subject_id, predicate, fact_id, max(coalesce(confidence, -1)) as c
@@ -84,6 +130,8 @@ where lo is null and c = mc and a = ma and t = mt group by 1, 2 having count(*)
 QUERIES = {
     "p3_found": p3_found, "p3_normalized": p3_normalized,
     "p4_found": p4_found, "p4_golden": p4_golden, "p4_many": p4_many,
+    "p6_found": p6_found, "p6_assignment": p6_assignment, "p6_fill": p6_fill,
+    "p7_mix": p7_mix, "p7_composition": p7_composition,
 }
 
 SQL = {"p4_found": _P4_SQL}
