@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 
 #: Documents of a source that one task sums up at a time.
 PART = 200_000
-#: Tokens of an output shard, and blocks that make one up on average.
-SHARD_TOKENS, BLOCKS = 1 << 18, 64
+#: Output shards at least, tokens of a shard at most, and blocks that make one up on average.
+SHARDS, SHARD_TOKENS, BLOCKS = 16, 1 << 26, 64
 
 
 @dataclass(frozen=True)
@@ -55,8 +55,8 @@ def quotas(targets: list, totals: dict[str, tuple[int, int]], total_tokens: int
     """Tokens that each source owes to each mix.
 
     The total of a mix is the largest at which every source that has tokens
-    reaches its share within its cap, or ``total_tokens`` where that is given
-    and smaller.  Shares are relative to the weights of the sources with tokens;
+    reaches its share within its cap, or ``total_tokens`` where that is given;
+    sources too small for that total give all that their cap allows.  Shares are relative to the weights of the sources with tokens;
     a source without any gets none.
     """
     out = []
@@ -65,7 +65,7 @@ def quotas(targets: list, totals: dict[str, tuple[int, int]], total_tokens: int
         usable = {t["source"]: t["weight"] for t in rows if totals.get(t["source"], (0, 0))[1] > 0 and t["weight"] > 0 and t["max_repeats"] > 0}
         whole = sum(usable.values())
         most = min((t["max_repeats"] * totals[t["source"]][1] * whole / t["weight"] for t in rows if t["source"] in usable), default=0.0)
-        size = most if total_tokens is None else min(most, total_tokens)
+        size = most if total_tokens is None else total_tokens
         for t in rows:
             n, have = totals.get(t["source"], (0, 0))
             share = usable.get(t["source"], 0.0) / whole if whole else 0.0
@@ -82,15 +82,16 @@ def split(blocks: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarr
     return np.vstack([split(drawn, left, rng), split(blocks - drawn, shards - left, rng)])
 
 
-def mix(sized: DataFrame, targets: DataFrame, seed: int = 7, total_tokens: int | None = None) -> Mix:
+def mix(sized: DataFrame, targets: DataFrame, seed: int = 7, total_tokens: int | None = None, shards: int = SHARDS) -> Mix:
     """Compose every mix of ``targets`` (mix_name, source, weight, max_repeats) from ``sized`` documents.
 
     ``sized`` has doc_id (unique), source and tokens, and is read twice: take a
     written table.  records: mix_name, source, doc_id, repetition (from 1),
     tokens, shard, shuffle_key; a shard in the order of shuffle_key is ready for
-    use.  A document enters whole: at the end of a source's quota the one that
-    the quota ends in is taken if more than half of it fits.  No document is
-    used more than max_repeats times.
+    use.  A document enters whole.  Where a source's quota ends within a document,
+    the one document not yet used as often whose size comes nearest to what is
+    missing takes its place, if that brings the source nearer to its quota.  No
+    document is used more than max_repeats times.
 
     Documents without tokens, of no source or of a source that no mix names are
     left out; sources without documents contribute nothing; repeated target
@@ -128,12 +129,12 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = 7, total_tokens: int |
     for name in sorted({q.mix_name for q in plan}):
         own = [q for q in plan if q.mix_name == name and q.tokens > 0]
         size = sum(q.tokens for q in own)
-        shards = max(1, -(-size // SHARD_TOKENS))
-        block = max(1, size // (shards * BLOCKS))
+        wanted_shards = max(shards, -(-size // SHARD_TOKENS))
+        block = max(1, size // (wanted_shards * BLOCKS))
         # one block more than the quota: the document at its end may reach beyond
         numbers = np.array([q.tokens // block + 1 for q in own], dtype=np.int64)
         rng = np.random.default_rng([seed, *name.encode()])
-        dealt = split(numbers, shards, rng) if own else np.zeros((1, 0), np.int64)
+        dealt = split(numbers, wanted_shards, rng) if own else np.zeros((1, 0), np.int64)
         for q, n, column in zip(own, numbers.tolist(), dealt.T, strict=True):
             step = next(s for s in iter(lambda: int(rng.integers(1, n + 1)), None) if gcd(s, n) == 1)
             ranges[name, q.source] = (step, int(rng.integers(0, n)), np.cumsum(column))
@@ -151,10 +152,17 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = 7, total_tokens: int |
             out[part.index] = np.searchsorted(upto, at, side="right")
         return pd.Series(out)
 
-    uses = F.col("full") + F.when(F.col("start") + F.col("tokens") / 2 < F.col("rest"), 1).otherwise(0)
+    fits = F.col("start") + F.col("tokens") <= F.col("rest")
+    placed = lined.join(owed, "source").withColumn("uses", (F.col("full") + fits.cast("long")).cast("int"))
+    short = placed.groupBy("mix_name", "source").agg((F.first("rest") - F.sum(F.when(fits, F.col("tokens")).otherwise(0))).alias("short"))
+    near = F.abs(F.col("tokens") - F.col("short"))
+    last = (
+        placed.where(~fits).join(short, ["mix_name", "source"]).where(near < F.col("short"))
+        .groupBy("mix_name", "source").agg(F.min_by("doc_id", F.struct(near, F.col("doc_id"))).alias("last"))
+    )
     records = (
-        lined.join(owed, "source")
-        .withColumn("uses", uses.cast("int"))
+        placed.join(last, ["mix_name", "source"], "left")
+        .withColumn("uses", F.col("uses") + F.coalesce((F.col("doc_id") == F.col("last")).cast("int"), F.lit(0)))
         .where("uses > 0")
         .withColumn("repetition", F.explode(F.sequence(F.lit(1), F.col("uses"))))
         .withColumn("block", F.least(F.floor(((F.col("repetition") - 1) * F.col("available") + F.col("start")) / F.col("block")), F.col("blocks") - 1))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.lineage import cut
-from factloom.llm import mixing, normalform, packing, survivors
+from factloom.llm import mixing, normalform, packing, reading, survivors
 from factloom.llm.tokens import sized
 from factloom.sources.tables import table
 
@@ -103,6 +103,32 @@ def p7_composition(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.composition(_mixed(spark, folder))
 
 
+# Problem 8
+
+
+def _leveled(spark: SparkSession, folder: str, documents: DataFrame) -> DataFrame:
+    model = reading.fit_table(table(spark, folder, "graded_passages"))
+    return documents.withColumn("r", reading.reading_level(spark, model, F.col("text")))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").where("lang = 'en'").where(F.regexp_count("text", F.lit(r"(?U)\S+")) >= 40)
+    return _leveled(spark, folder, documents.select("doc_id", "text")).where("r.band >= 4").select("doc_id")
+
+
+def p8_levels(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
+    return _leveled(spark, folder, documents).select(
+        "doc_id", "lang", "source", F.round("r.level", 6).alias("level"), F.col("r.band").alias("band")
+    )
+
+
+def p8_profile(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_levels(spark, folder).groupBy("lang", "source", "band").agg(
+        F.count(F.lit(1)).alias("documents"), F.round(F.avg("level"), 4).alias("mean_level")
+    )
+
+
 _P4_SQL = """
 with f as (
   select subject_id, predicate, fact_id, max(coalesce(confidence, -1)) as c
@@ -132,6 +158,7 @@ QUERIES = {
     "p4_found": p4_found, "p4_golden": p4_golden, "p4_many": p4_many,
     "p6_found": p6_found, "p6_assignment": p6_assignment, "p6_fill": p6_fill,
     "p7_mix": p7_mix, "p7_composition": p7_composition,
+    "p8_found": p8_found, "p8_levels": p8_levels, "p8_profile": p8_profile,
 }
 
 SQL = {"p4_found": _P4_SQL}
