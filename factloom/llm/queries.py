@@ -6,11 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.lineage import cut
-from factloom.llm import mixing, normalform, packing, reading, survivors
+from factloom.llm import mixing, normalform, packing, reading, survivors, variants
 from factloom.llm.tokens import sized
 from factloom.sources.tables import table
 
 
+# Problem 1
+
+
+def p1_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.variants(table(spark, folder, "entities"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.pairs_of(p1_clusters(spark, folder))
+
+
 # Problem 3
 
 
@@ -154,6 +165,7 @@ where lo is null and c = mc and a = ma and t = mt group by 1, 2 having count(*)
 """
 
 QUERIES = {
+    "p1_found": p1_found, "p1_clusters": p1_clusters,
     "p3_found": p3_found, "p3_normalized": p3_normalized,
     "p4_found": p4_found, "p4_golden": p4_golden, "p4_many": p4_many,
     "p6_found": p6_found, "p6_assignment": p6_assignment, "p6_fill": p6_fill,
