@@ -24,3 +24,29 @@ def salted_join(
     salted = rows.withColumn(SALT, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     repeated = per_key.withColumn(SALT, F.explode(F.expr(f"sequence(0, {salts - 1})")))
     return salted.join(repeated, [*keys, SALT], how).drop(SALT)
+
+
+#: Rows from which a key counts as hot, and the most keys treated so: any other key has at most a thousandth of all rows.
+HOT, MOST_HOT = 50_000, 1_000
+
+
+def hot_keys(counts: DataFrame, keys: Sequence[str], n: str) -> list[tuple]:
+    """The keys with the most rows, of a table with the rows per key in column ``n``: at most ``MOST_HOT``."""
+    top = counts.where(F.col(n) >= HOT).orderBy(F.desc(n)).limit(MOST_HOT)
+    return [tuple(r) for r in top.select(*keys).collect()]
+
+
+def even_join(
+    rows: DataFrame, per_key: DataFrame, keys: Sequence[str], spread: Column, hot: list[tuple], how: str = "inner", salts: int = SALTS
+) -> DataFrame:
+    """:func:`salted_join` that salts only the keys in ``hot`` (from :func:`hot_keys`) and so repeats no others."""
+    if not hot:
+        return rows.join(per_key, list(keys), how)
+    schema = rows.select(*keys).schema
+    listed = F.broadcast(rows.sparkSession.createDataFrame(hot, schema).withColumn("__hot", F.lit(True)))  # at most MOST_HOT rows
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(0).cast("int")
+    salted = rows.join(listed, list(keys), "left").withColumn(SALT, salt).drop("__hot")
+    repeated = per_key.join(listed, list(keys), "left").withColumn(
+        SALT, F.explode(F.when(F.col("__hot"), F.expr(f"sequence(0, {salts - 1})")).otherwise(F.array(F.lit(0))))
+    ).drop("__hot")
+    return salted.join(repeated, [*keys, SALT], how).drop(SALT)
