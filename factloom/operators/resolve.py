@@ -52,7 +52,7 @@ def _fits(matched: DataFrame, ontology: Ontology | None) -> DataFrame:
 
 def candidates(mentions: DataFrame, entities: DataFrame, ontology: Ontology | None = None) -> DataFrame:
     """Every entity a mention may mean at its best tier: text, hint, entity_id, score, one row each."""
-    found = resolve(mentions, entities, ontology).where("n_candidates > 0")
+    found = resolve(mentions, entities, ontology).where("n_candidates > 0").select("text", "hint", "score")
     names = entity_names(entities).withColumn("norm", normalize(F.col("name")))
     exact = found.where(F.col("score") == EXACT).join(names, F.btrim("text", F.lit(" \t\n\r")) == names["name"])
     near = found.where(F.col("score") == NORMALIZED).withColumn("key", normalize(F.col("text"))).join(names, F.col("key") == names["norm"]).drop("key")

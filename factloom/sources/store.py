@@ -48,10 +48,12 @@ class Store:
             stream.close()
 
     def table(self, name: str) -> DataFrame | None:
-        """A table of the current snapshot; None before the first commit."""
+        """A table of the current snapshot; None if it was never committed."""
         if name not in TABLES:
             raise KeyError(name)
-        return self.spark.read.parquet(f"{self.folder}/{self.snapshot}/{name}") if self.snapshot else None
+        if self.snapshot is None or not self._fs.exists(self._path(f"{self.snapshot}/{name}")):
+            return None
+        return self.spark.read.parquet(f"{self.folder}/{self.snapshot}/{name}")
 
     def commit(self, **tables: DataFrame) -> str:
         """Write a new snapshot with ``tables``; those not given are taken from the current one.  Returns its name."""
