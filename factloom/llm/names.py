@@ -297,7 +297,14 @@ class Record:
 
     def dump(self) -> str:
         """The record as text; equal records give equal text."""
-        plain = [self.kind, self.subtype, list(self.cores), self.particle, sorted(self.first), sorted(self.middle), self.generation, list(self.words), self.region, self.letters]
+        return self._text(list(self.cores))
+
+    def rest(self) -> str:
+        """The record as text without its cores."""
+        return self._text([])
+
+    def _text(self, cores: list[str]) -> str:
+        plain = [self.kind, self.subtype, cores, self.particle, sorted(self.first), sorted(self.middle), self.generation, list(self.words), self.region, self.letters]
         return json.dumps(plain, ensure_ascii=False, separators=(",", ":"))
 
 

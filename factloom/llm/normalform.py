@@ -131,7 +131,7 @@ def _look_alikes() -> dict[str, dict[str, str]]:
     return to
 
 
-_WORD = regex.compile(r"[\p{L}\p{M}\p{Cf}\p{Cc}\p{Default_Ignorable_Code_Point}]+|[^\p{L}\p{M}\p{Cf}\p{Cc}\p{Default_Ignorable_Code_Point}]+", regex.V1)
+_WORD = regex.compile(r"\s+|\S+")
 _SCRIPT = [(s, regex.compile(rf"\p{{Script={s}}}")) for s in SCRIPTS]
 _OTHER_SCRIPT = regex.compile(r"(?=\p{L})[^\p{Script=Latin}\p{Script=Cyrillic}\p{Script=Greek}\p{Script=Common}\p{Script=Inherited}]", regex.V1)
 _MARK = regex.compile(r"\p{M}|[\u1100-\u11ff]")
@@ -153,15 +153,15 @@ def _one_script(word: str) -> str:
     return word
 
 
+_LETTERS = regex.compile(r"[\p{L}\p{M}]+")
+
+
 @lru_cache(maxsize=MEMO)
 def _piece(piece: str) -> str:
     out = transducer().apply(piece)
     if _MARK.search(out):  # several marks on one letter, in any order
         out = unicodedata.normalize("NFKC", out)
-    return _one_script(out) if mixed(out) else out
-
-
-_LETTERS = regex.compile(r"[\p{L}\p{M}]+")
+    return _LETTERS.sub(lambda m: _one_script(m[0]) if mixed(m[0]) else m[0], out)
 
 
 def normal_form(text: str | None) -> str | None:

@@ -5,10 +5,13 @@ suffixes of each core above a minimum length are indexed, and those of its
 mirror image, so that one slip anywhere leaves a long fragment in common.
 Every suffix stands together with another field, the initials of the rest.  A
 block that is still overly common is refined again by the letters at the far
-end of the core, and only then discarded as such: its members meet in longer
-suffixes, with the commonest core of the block, and with their neighbours in
-the order of the cores.  Pairs are compared by longest-common-subsequence ratio
-and by whether the rest of the names contradict.
+end of the core, and only then discarded.  Pairs are compared by
+longest-common-subsequence ratio and by whether the rest of the names
+contradict.
+
+Discarding loses nothing: the different cores of such blocks, and cores too
+short for two fragments, meet by what is left when one letter is taken out, a
+key that any two cores one slip apart have in common.
 
 Records that say the same are one node from the start, so copies cost nothing.
 A record that leaves open what tells others apart (an initial, no middle name,
@@ -18,7 +21,7 @@ no region) is linked only if the others agree on it.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,10 +34,8 @@ from factloom.skew import salted_join
 SHORTEST = 4
 #: Members up to which a block is compared whole.
 COMMON = 64
-#: Neighbours and commonest cores that a member of a larger block is compared with.
-NEIGHBOURS, HUBS = 24, 4
 
-_READ = T.StructType([T.StructField("record", T.StringType()), T.StructField("cores", T.ArrayType(T.StringType())), T.StructField("refined", T.ArrayType(T.StringType()))])
+_READ = T.StructType([T.StructField("record", T.StringType()), T.StructField("cores", T.ArrayType(T.StringType())), T.StructField("refined", T.ArrayType(T.StringType())), T.StructField("rest", T.StringType())])
 
 
 @F.pandas_udf(_READ)
@@ -42,8 +43,8 @@ def _read(types: pd.Series, labels: pd.Series, aliases: pd.Series) -> pd.DataFra
     out = []
     for t, label, alias in zip(types, labels, aliases, strict=True):
         r = names.record(t, label, alias)
-        out.append((r.dump(), sorted({names.skeleton(c) for c in r.cores}), names.refinements(r)) if r else (None, [], []))
-    return pd.DataFrame(out, columns=["record", "cores", "refined"])
+        out.append((r.dump(), sorted({names.skeleton(c) for c in r.cores}), names.refinements(r), r.rest()) if r else (None, [], [], None))
+    return pd.DataFrame(out, columns=["record", "cores", "refined", "rest"])
 
 
 _JUDGED = T.StructType([T.StructField(n, T.StringType()) for n in ("first", "middle", "region")] + [T.StructField("agree", T.BooleanType())])
@@ -80,6 +81,7 @@ def _index(nodes: DataFrame) -> DataFrame:
         "node", "core",
         F.when(F.col("size") < F.col("n"), F.substring(F.col("text"), F.col("n") - F.col("size"), F.lit(1))).otherwise("").alias("inner"),
         F.substring("text", 1, 2).alias("far"),
+        (F.col("size") >= F.col("n") - 3).alias("nearly_whole"),
     )
 
 
@@ -104,28 +106,26 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
         .where("a.node < b.node and (a.inner <> b.inner or a.inner = '')").where(_NEAR)
         .select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
     )
-    # the rest: blocks too common even so
-    rest = again.where(F.col("members") > COMMON).select("block", "node", "core").distinct()
-    counted = rest.groupBy("block", "core").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub"))
-    top = counted.withColumn("place", F.row_number().over(Window.partitionBy("block").orderBy(F.desc("n"), "core"))).where(F.col("place") <= HUBS)
-    hubs = top.select("block", F.col("core").alias("hub_core"), "hub")
-    starred = (
-        salted_join(rest, hubs.groupBy("block").agg(F.collect_list(F.struct("hub_core", "hub")).alias("hubs")), ["block"], F.col("node"))
-        .select("node", "core", F.explode("hubs").alias("h")).select("node", "core", "h.*")
-        .where("node <> hub and levenshtein(core, hub_core, 2) >= 0")
-        .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    )
-    # neighbours in the order of cores: blocks are cut by the core's first letters, so no task takes a whole block
-    order = Window.partitionBy("block", "head").orderBy("core", "node")
-    lined = rest.withColumn("head", F.substring("core", 1, 6)).withColumn(
-        "next", F.collect_list(F.struct("node", "core")).over(order.rowsBetween(1, NEIGHBOURS))
-    )
-    near = (
-        lined.select(F.col("node").alias("x"), F.col("core").alias("own"), F.explode("next").alias("o"))
-        .where("x <> o.node and levenshtein(own, o.core, 2) >= 0")
-        .select(F.least("x", F.col("o.node")).alias("a"), F.greatest("x", F.col("o.node")).alias("b"))
-    )
-    return within.unionByName(starred).unionByName(near).distinct()
+    # refining splits a pair whose slip lies in the far letters; such a pair shares nearly the whole core
+    common = F.col("members") > COMMON
+    discarded = again.where(common).select("node", "core").unionByName(first.where(common & F.col("nearly_whole")).select("node", "core"))
+    short = nodes.select("node", F.explode("cores").alias("core")).where(F.length("core") < 2 * SHORTEST)
+    return within.unionByName(_by_deletion(nodes, discarded.unionByName(short).distinct())).distinct()
+
+
+def _by_deletion(nodes: DataFrame, taken: DataFrame) -> DataFrame:
+    """Pairs of the nodes in ``taken`` (node, core) whose cores are at most one slip apart.
+
+    Nodes that say the same but for other cores are compared with the first of
+    them only; the first ones of equal or near cores are compared with each other.
+    """
+    named = taken.join(nodes.select("node", "refined", "rest"), "node").select("node", "core", "rest", F.explode("refined").alias("refined"))
+    hubs = cut(named.groupBy("refined", "core", "rest").agg(F.min("node").alias("hub")))
+    starred = named.join(hubs, ["refined", "core", "rest"]).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    without = F.transform(F.sequence(F.lit(1), F.length("core")), lambda i: F.concat(F.substring("core", F.lit(1), i - 1), F.substring(F.col("core"), i + 1, F.length("core"))))
+    keys = hubs.select("hub", F.explode(F.array_distinct(F.concat(F.array("core"), without))).alias("left"), "refined").select("hub", F.xxhash64("refined", "left").alias("key")).distinct()
+    met = keys.alias("x").join(keys.alias("y"), "key").where("x.hub < y.hub").select(F.col("x.hub").alias("a"), F.col("y.hub").alias("b"))
+    return starred.unionByName(met)
 
 
 def _links(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def variants(entities: DataFrame) -> DataFrame:
     read = records.where("record is not null").select("id", "record").join(seqs, "id")
     nodes = cut(
         records.where("record is not null").join(seqs, "id").groupBy("record")
-        .agg(F.min("seq").alias("node"), F.first("cores").alias("cores"), F.first("refined").alias("refined"))
+        .agg(F.min("seq").alias("node"), F.first("cores").alias("cores"), F.first("refined").alias("refined"), F.first("rest").alias("rest"))
     )
     members = cut(salted_join(read, nodes.select("record", "node"), ["record"], F.col("id")).select("id", "node"))
     clusters = components(_links(nodes, candidate_pairs(nodes)))
