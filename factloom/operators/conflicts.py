@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.temporal import earliest_second, overlaps
-from factloom.skew import salted_join
+from factloom.skew import skew_join
 
 POLICIES = ("keep_both", "highest_confidence", "highest_authority", "most_recent_evidence")
 
@@ -42,7 +42,7 @@ def detect(facts: DataFrame, single_valued: DataFrame) -> DataFrame:
     a = claims.select("subject_id", "predicate", *[F.col(c).alias(f"a_{c}") for c in columns])
     b = claims.select("subject_id", "predicate", *[F.col(c).alias(f"b_{c}") for c in columns])
     return (
-        salted_join(b, a, ["subject_id", "predicate"], F.col("b_rep"))
+        skew_join(b, a, ["subject_id", "predicate"], F.col("b_rep"))
         .where("(a_seq < b_seq or (a_seq = b_seq and a_rep < b_rep)) and a_object_key <> b_object_key")
         .where(overlaps(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end")))
         .select(F.col("a_rep").alias("fact_a"), F.col("b_rep").alias("fact_b"), "subject_id", "predicate", F.col("a_seq").alias("seq_a"), F.col("b_seq").alias("seq_b"))
@@ -53,7 +53,7 @@ def scores(facts: DataFrame, evidence: DataFrame, sources: DataFrame) -> DataFra
     """Per fact what the policies compare: confidence, authority (best of its sources), latest (microseconds); null for unknown."""
     trust = sources.where("id is not null").groupBy(F.col("id").alias("source_id")).agg(F.max("authority").alias("authority"))
     stated = evidence.where("fact_id is not null").groupBy("fact_id", "source_id").agg(F.max("extracted_at").alias("latest"))
-    measured = salted_join(stated, trust, ["source_id"], F.col("fact_id"), "left").groupBy("fact_id").agg(
+    measured = skew_join(stated, trust, ["source_id"], F.col("fact_id"), "left").groupBy("fact_id").agg(
         F.max("authority").alias("authority"), F.max(F.unix_micros("latest")).cast("double").alias("latest")
     )
     return facts.groupBy("fact_id").agg(F.max("confidence").alias("confidence")).join(measured, "fact_id", "left")

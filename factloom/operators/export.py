@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.temporal import precision, stripped
 from factloom.functions.terms import decode, value_type
-from factloom.skew import salted_join
+from factloom.skew import skew_join
 
 
 def _kept(facts: DataFrame, include_superseded: bool) -> DataFrame:
@@ -36,7 +36,7 @@ def fact_table(facts: DataFrame, include_superseded: bool = True) -> DataFrame:
 def evidence_table(facts: DataFrame, evidence: DataFrame, include_superseded: bool = True) -> DataFrame:
     """Evidence of the exported facts."""
     kept = _kept(facts, include_superseded).select("fact_id").distinct()
-    return salted_join(evidence, kept, ["fact_id"], F.col("position"), "left_semi").select(
+    return skew_join(evidence, kept, ["fact_id"], F.col("position"), "left_semi").select(
         "fact_id", "position", "source_id", "locator", "quote", "confidence", "extractor", _iso(F.col("extracted_at")).alias("extracted_at")
     )
 

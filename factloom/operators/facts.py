@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions import confidence as C
 from factloom.functions.temporal import contains, earliest_second
 from factloom.functions.terms import encode, key
-from factloom.skew import salted_join
+from factloom.skew import skew_join
 
 EVIDENCE = ["source_id", "locator", "quote", "confidence", "extractor", "extracted_at"]
 
@@ -26,7 +26,7 @@ def combined_confidence(evidence: DataFrame, sources: DataFrame) -> DataFrame:
     """
     trust = sources.where("id is not null").groupBy(F.col("id").alias("source_id")).agg(F.max("authority").alias("authority"))
     once = distinct_evidence(evidence.where("fact_id is not null"))
-    weighed = salted_join(once, trust, ["source_id"], F.xxhash64("fact_id", "position"), "left")
+    weighed = skew_join(once, trust, ["source_id"], F.xxhash64("fact_id", "position"), "left")
     return weighed.groupBy("fact_id").agg(
         C.noisy_or(C.weighted(F.col("confidence"), F.col("authority"))).alias("confidence"), F.count(F.lit(1)).alias("n_evidence")
     )

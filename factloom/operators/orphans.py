@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.skew import salted_join
+from factloom.skew import skew_join
 
 #: Hash buckets; a shuffle task holds many of them, so their number only has to exceed that of tasks by far.
 BUCKETS = 1 << 18
@@ -103,7 +103,7 @@ def orphans(references: list[Reference]) -> DataFrame:
     needed).  Without parents every reference is an orphan; without referring
     rows the result is empty.  Extra columns are ignored.
     """
-    return salted_join(
+    return skew_join(
         _referring(references), missing_keys(references), ["domain", "missing_key"], F.col("row_key")
     ).select("ref_table", "ref_field", "row_key", "missing_key", "at")
 
@@ -122,7 +122,7 @@ def by_period(found: DataFrame, log: DataFrame | None = None) -> DataFrame:
         logged = log.where(F.col("key_text").isNotNull()).groupBy(F.col("key_text").alias("missing_key")).agg(
             *[F.max((F.col("change_kind") == k).cast("int")).alias(k) for k in kinds]
         )
-        rows = salted_join(rows, logged, ["missing_key"], F.col("row_key"), "left")
+        rows = skew_join(rows, logged, ["missing_key"], F.col("row_key"), "left")
     # keys are counted over their own rows first, so that a hot key is combined on the map side
     keyed = rows.groupBy("ref_table", "ref_field", "period", "missing_key").agg(
         F.count(F.lit(1)).alias("rows"),

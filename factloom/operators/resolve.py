@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from factloom.functions.names import entity_id, normalize
 from factloom.functions.terms import term
 from factloom.operators.ontology import Ontology
-from factloom.skew import salted_join
+from factloom.skew import skew_join
 
 # Scores of the two tiers.
 EXACT, NORMALIZED = 1.0, 0.9
@@ -175,7 +175,7 @@ def resolve_claims(claims: DataFrame, entities: DataFrame, ontology: Ontology |
         keyed = out.withColumns({
             "__text": F.when(F.col(side)["kind"] == "mention", F.col(side)["text"]), "__hint": F.coalesce(F.col(side)["hint"], F.lit("")),
         })
-        out = salted_join(keyed, link, ["__text", "__hint"], F.col("seq"), "left")
+        out = skew_join(keyed, link, ["__text", "__hint"], F.col("seq"), "left")
         out = out.withColumn(side, F.when(F.col("__id").isNotNull(), term("ref", F.col("__id"))).otherwise(F.col(side))).drop("__text", "__hint", "__id")
     empty = entities.select("seq", "id", "label", "type", "aliases", "provisional").limit(0)
     return out, (fresh.drop("norm") if fresh is not None else empty)

@@ -11,7 +11,7 @@ from factloom.functions.names import humanized
 from factloom.functions.temporal import contains, earliest_second, stripped
 from factloom.functions.terms import decode
 from factloom.operators.resolve import resolve
-from factloom.skew import salted_join
+from factloom.skew import skew_join
 
 SUPPORTED, CONTRADICTED, DISPUTED, UNKNOWN = "supported", "contradicted", "disputed", "unknown"
 
@@ -24,7 +24,7 @@ def two_places(x: pd.Series) -> pd.Series:
 
 def _labelled(rows: DataFrame, entities: DataFrame, id_: str, label: str) -> DataFrame:
     labels = entities.where("id is not null").groupBy(F.col("id").alias(id_)).agg(F.first("label").alias(label))
-    return salted_join(rows, labels, [id_], F.col("seq"), "left").withColumn(label, F.coalesce(label, id_))
+    return skew_join(rows, labels, [id_], F.col("seq"), "left").withColumn(label, F.coalesce(label, id_))
 
 
 def citations(facts: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ def render_facts(facts: DataFrame, evidence: DataFrame, entities: DataFrame, hum
         return lines
     numbers = citations(facts, evidence)
     of_fact = (
-        salted_join(evidence.where("source_id is not null").groupBy("fact_id", "source_id").agg(F.min("position").alias("position")), numbers, ["source_id"], F.col("fact_id"))
+        skew_join(evidence.where("source_id is not null").groupBy("fact_id", "source_id").agg(F.min("position").alias("position")), numbers, ["source_id"], F.col("fact_id"))
         .groupBy("fact_id").agg(F.array_sort(F.collect_list(F.struct("position", "number"))).alias("n"))
     )
     marks = F.concat(F.lit(" ["), F.array_join(F.transform("n", lambda x: x["number"].cast("string")), ", "), F.lit("]"))

@@ -15,7 +15,7 @@ from factloom.functions import confidence as C
 from factloom.functions.temporal import earliest_second, is_naive, precision
 from factloom.functions.terms import claim_id, key
 from factloom.operators.ontology import Ontology
-from factloom.skew import salted_join
+from factloom.skew import skew_join
 
 ERROR, WARNING, INFO = "error", "warning", "info"
 ACCEPTED, REJECTED, REVIEW = "accepted", "rejected", "needs_review"
@@ -116,7 +116,7 @@ def validate(
             for side, name in (("s", "subject"), ("o", "object")):
                 types = entities.where("id is not null").groupBy(F.col("id").alias(f"{side}_id")).agg(F.first("type").alias(f"{side}_type"), F.lit(True).alias(f"{side}_known"))
                 out = out.withColumn(f"{side}_id", F.when(F.col(name)["kind"] == "ref", F.col(name)["text"]))
-                out = salted_join(out, types, [f"{side}_id"], F.col("seq"), "left").withColumn(f"{side}_known", F.coalesce(F.col(f"{side}_known"), F.lit(False)))
+                out = skew_join(out, types, [f"{side}_id"], F.col("seq"), "left").withColumn(f"{side}_known", F.coalesce(F.col(f"{side}_known"), F.lit(False)))
         else:
             out = out.withColumns({f"{s}_{n}": F.lit(None).cast(t) for s in "so" for n, t in (("type", "string"), ("known", "boolean"))})
         found += _ontology(ontology.strict, entities is not None)

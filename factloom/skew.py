@@ -26,6 +26,19 @@ def salted_join(
     return salted.join(repeated, [*keys, SALT], how).drop(SALT)
 
 
+def skew_join(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], spread: Column, how: str = "inner") -> DataFrame:
+    """Join whose hot keys are split at run time, where the next step needs no order by the same keys.
+
+    With adaptive execution Spark measures the shuffled partitions and divides
+    those that are far larger than the rest, without repeating anything else;
+    and it broadcasts a side that turns out small.  In a session without it the
+    join is salted instead.  Keys and ``how`` as for :func:`salted_join`.
+    """
+    conf = rows.sparkSession.conf
+    adaptive = all(conf.get(f"spark.sql.adaptive.{k}", "true") == "true" for k in ("enabled", "skewJoin.enabled"))
+    return rows.join(per_key, list(keys), how) if adaptive else salted_join(rows, per_key, keys, spread, how)
+
+
 #: Rows from which a key counts as hot, and the most keys treated so: any other key has at most a thousandth of all rows.
 HOT, MOST_HOT = 50_000, 1_000
 
