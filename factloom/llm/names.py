@@ -218,7 +218,7 @@ def _org_word(w: str) -> str:
     w = SHORT_BODIES.get(w, w)
     if w in _ORG_WORDS:
         return w
-    near = [x for x in _NEAR_WORDS.get(len(w), ()) if close(w, x)] if len(w) >= 5 else []
+    near = [x for x in _NEAR_WORDS.get(len(w), ()) if close(w, x)] if len(w) >= 4 else []
     return near[0] if near else ""
 
 
@@ -264,7 +264,9 @@ def kind_of(type_name: str | None, names: list[str]) -> str:
     if any(t in BODIES or t in SHORT_BODIES for t in tokens):
         return "org"
     label = re.findall(r"[a-z]+", fold(names[0])) if names else []
-    if len(label) <= 1 or any(t in PLACE_WORDS or t in SHORT_PLACES for t in label if len(t) > 1) or ":" in names[0]:
+    # capitals such as MT may be initials, so short forms count in lower case only
+    short = {fold(t).rstrip(".") for t in _TOKEN.findall(names[0]) if not t.rstrip(".").isupper()} & SHORT_PLACES.keys() if names else set()
+    if len(label) <= 1 or short or any(t in PLACE_WORDS or t in ("city", "town", "village") for t in tokens) or ":" in names[0]:
         return "place"
     return "person"
 

@@ -208,10 +208,13 @@ def _features(plain: str, words: Sequence[str], sentences: int, ids: dict[str, i
 def rank(features: np.ndarray, bands: np.ndarray, penalty: float = 1e-3, rounds: int = 300) -> np.ndarray:
     """Weights that put the more demanding of two passages higher: logistic loss over all graded pairs.
 
-    The gradient is summed band against band, so memory stays at two bands' pairs.
+    Pairs count by the inverse square of the distance of their grades, so that
+    the close calls shape the scale.  The gradient is summed band against band,
+    so memory stays at two bands' pairs.
     """
+    levels = np.unique(bands)
     weights = np.zeros(features.shape[1])
-    groups = [features[bands == b] for b in np.unique(bands)]
+    groups = [features[bands == b] for b in levels]
     moment, square = np.zeros_like(weights), np.zeros_like(weights)
     for t in range(1, rounds + 1):
         gradient, n = 2 * penalty * weights, 0
@@ -220,8 +223,9 @@ def rank(features: np.ndarray, bands: np.ndarray, penalty: float = 1e-3, rounds:
         for i, low in enumerate(groups):
             for j in range(i + 1, len(groups)):
                 p = 1 / (1 + np.exp(np.clip(scores[j][:, None] - scores[i][None, :], -30, 30)))
-                pull -= p.sum(1) @ groups[j] - p.sum(0) @ low
-                n += p.size
+                near = 1 / (levels[j] - levels[i]) ** 2
+                pull -= near * (p.sum(1) @ groups[j] - p.sum(0) @ low)
+                n += near * p.size
         gradient = gradient + pull / max(n, 1)
         moment = 0.9 * moment + 0.1 * gradient
         square = 0.999 * square + 0.001 * gradient**2

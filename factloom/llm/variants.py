@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from factloom.lineage import cut
 from factloom.llm import names
 from factloom.llm.components import components
-from factloom.skew import salted_join
+from factloom.skew import skew_join
 
 #: Letters of the shortest suffix indexed.
 SHORTEST = 4
@@ -88,7 +88,7 @@ def _index(nodes: DataFrame) -> DataFrame:
 def _sized(index: DataFrame) -> DataFrame:
     """The index with the number of members of each block; blocks of one are gone."""
     sizes = index.groupBy("block").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    return salted_join(index, sizes, ["block"], F.col("node"))
+    return skew_join(index, sizes, ["block"], F.col("node"))
 
 
 #: One slip of a core is at most two plain edits; -1 stands for more.
@@ -131,8 +131,8 @@ def _by_deletion(nodes: DataFrame, taken: DataFrame) -> DataFrame:
 def _links(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs that agree, without those of a record that leaves open what its neighbours differ in."""
     named = nodes.select("node", "record")
-    with_a = salted_join(pairs, named.select(F.col("node").alias("a"), F.col("record").alias("ra")), ["a"], F.col("b"))
-    both = salted_join(with_a, named.select(F.col("node").alias("b"), F.col("record").alias("rb")), ["b"], F.col("a"))
+    with_a = skew_join(pairs, named.select(F.col("node").alias("a"), F.col("record").alias("ra")), ["a"], F.col("b"))
+    both = skew_join(with_a, named.select(F.col("node").alias("b"), F.col("record").alias("rb")), ["b"], F.col("a"))
     agreed = cut(both.withColumn("j", _judge("ra", "rb")).where("j.agree").select("a", "b", "j.first", "j.middle", "j.region"))
     said = ["first", "middle", "region"]
     halves = [
@@ -145,7 +145,7 @@ def _links(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     doubtful = F.lit(False)
     for c in said:
         doubtful = doubtful | (F.coalesce(F.col(f"open_{c}"), F.lit(False)) & (F.col(c) != ""))
-    refused = salted_join(directed, open_, ["u"], F.col("v")).where(doubtful).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    refused = skew_join(directed, open_, ["u"], F.col("v")).where(doubtful).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
     return agreed.select("a", "b").join(refused, ["a", "b"], "left_anti")
 
 
@@ -165,15 +165,15 @@ def variants(entities: DataFrame) -> DataFrame:
         records.where("record is not null").join(seqs, "id").groupBy("record")
         .agg(F.min("seq").alias("node"), F.first("cores").alias("cores"), F.first("refined").alias("refined"), F.first("rest").alias("rest"))
     )
-    members = cut(salted_join(read, nodes.select("record", "node"), ["record"], F.col("id")).select("id", "node"))
+    members = cut(skew_join(read, nodes.select("record", "node"), ["record"], F.col("id")).select("id", "node"))
     clusters = components(_links(nodes, candidate_pairs(nodes)))
     placed = members.join(clusters, "node", "left").select("id", F.coalesce("component", "node").alias("cluster"))
     sizes = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return salted_join(placed, sizes, ["cluster"], F.col("id")).select("id", "cluster", "size")
+    return skew_join(placed, sizes, ["cluster"], F.col("id")).select("id", "cluster", "size")
 
 
 def pairs_of(clustered: DataFrame) -> DataFrame:
     """Every pair of ids of a cluster, id_a < id_b: as many as the clusters' sizes imply."""
     left = clustered.select(F.col("id").alias("id_a"), "cluster")
     right = clustered.select(F.col("id").alias("id_b"), "cluster")
-    return salted_join(left, right, ["cluster"], F.col("id_a")).where("id_a < id_b").select("id_a", "id_b")
+    return skew_join(left, right, ["cluster"], F.col("id_a")).where("id_a < id_b").select("id_a", "id_b")
