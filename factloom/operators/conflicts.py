@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -59,8 +59,18 @@ def scores(facts: DataFrame, evidence: DataFrame, sources: DataFrame) -> DataFra
     return facts.groupBy("fact_id").agg(F.max("confidence").alias("confidence")).join(measured, "fact_id", "left")
 
 
-def judged(pairs: DataFrame, measured: DataFrame, policy: str) -> DataFrame:
-    """``pairs`` with the winner that a policy names: the higher known score; null on a tie or if either is unknown."""
+def judged(pairs: DataFrame, measured: DataFrame, policy: str | Callable[[], Column]) -> DataFrame:
+    """``pairs`` with the winner that a policy names: the higher known score; null on a tie or if either is unknown.
+
+    A policy of one's own is a function that builds the winner's fact_id (or
+    null) from fact_a, fact_b and confidence_a, authority_a, latest_a and so on.
+    """
+    if callable(policy):
+        out = pairs
+        for side in ("a", "b"):
+            columns = [F.col(c).alias(f"{c}_{side}") for c in ("confidence", "authority", "latest")]
+            out = out.join(measured.select(F.col("fact_id").alias(f"fact_{side}"), *columns), f"fact_{side}", "left")
+        return out.withColumn("winner", policy()).select(*[c for c in pairs.columns if c != "winner"], "winner")
     if policy == "keep_both":
         return pairs.withColumn("winner", F.lit(None).cast("string"))
     score = {"highest_confidence": "confidence", "highest_authority": "authority", "most_recent_evidence": "latest"}[policy]
@@ -75,7 +85,7 @@ def judged(pairs: DataFrame, measured: DataFrame, policy: str) -> DataFrame:
 _FOLDED = "kind string, subject_id string, predicate string, fact_a string, fact_b string, winner string, seq_a long, seq_b long"
 
 
-def settle(facts: DataFrame, single_valued: DataFrame, measured: DataFrame, policy: str) -> DataFrame:
+def settle(facts: DataFrame, single_valued: DataFrame, measured: DataFrame, policy: str, since: int | None = None) -> DataFrame:
     """Conflicts and superseded facts as they arise when facts arrive one by one in the order of seq.
 
     A new fact meets the active rivals in the order they arrived.  Each makes a
@@ -85,7 +95,8 @@ def settle(facts: DataFrame, single_valued: DataFrame, measured: DataFrame, poli
 
     Rows of kind ``conflict`` (fact_a, fact_b, winner, seq_a, seq_b) and of kind
     ``superseded`` (fact_a the loser, fact_b the winner).  Facts arriving again
-    change nothing.  Rows are sorted by group and read as a stream, of which
+    change nothing.  With ``since``, facts of a seq up to it stand as they are and
+    only later ones are judged.  Rows are sorted by group and read as a stream, of which
     only the active rivals of the current group are held.
     """
     if policy not in POLICIES:
@@ -108,6 +119,9 @@ def settle(facts: DataFrame, single_valued: DataFrame, measured: DataFrame, poli
                 start = None if pd.isna(start) else start
                 end = None if pd.isna(end) else end
                 value = None if pd.isna(value) else value
+                if since is not None and seq <= since:
+                    rivals.append((fact, obj, start, end, value, seq))
+                    continue
                 kept, lost = [], False
                 for at, rival in enumerate(rivals):
                     r_fact, r_obj, r_start, r_end, r_value, r_seq = rival

@@ -8,6 +8,8 @@ A mention takes the best tier in which a type-compatible entity bears its name
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,17 +149,25 @@ def _typed(claims: DataFrame, ontology: Ontology | None) -> DataFrame:
     return claims.withColumns({"subject": subject, "object": object_}).drop("__domain", "__range", "__entity")
 
 
-def resolve_claims(claims: DataFrame, entities: DataFrame, ontology: Ontology | None = None, create: bool = True) -> tuple[DataFrame, DataFrame]:
+def resolve_claims(
+    claims: DataFrame, entities: DataFrame, ontology: Ontology | None = None, create: bool = True, resolver: Callable[[DataFrame], DataFrame] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Claims with subject and object resolved to references, and the new provisional entities.
 
     ``claims`` has seq (unique), subject and object as terms, and predicate.
     The subject is always an entity; the object is one if it is a mention, or a
     string where the predicate's range is an entity type.  What stays
-    unresolved stays a mention with its hint.
+    unresolved stays a mention with its hint.  ``resolver`` takes the place of the
+    built-in tiers: given text and hint it returns them with entity_id (null for
+    none), and then nothing is created.
     """
     typed = _typed(claims, ontology)
     pairs = typed.select("seq", F.explode(F.array("subject", "object")).alias("t")).where("t.kind = 'mention'").select("seq", F.col("t.text").alias("text"), F.col("t.hint").alias("hint"))
-    found = resolve(pairs, entities, ontology)
+    if resolver is not None:
+        create = False
+        found = resolver(pairs.select("text", "hint").distinct())
+    else:
+        found = resolve(pairs, entities, ontology)
     fresh = None
     links = found.select("text", "hint", "entity_id")
     if create:
