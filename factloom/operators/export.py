@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,6 +109,32 @@ def node_properties(facts: DataFrame, include_superseded: bool = False) -> DataF
     return listed.select("subject_id", "predicate", F.when(F.size("v") == 1, F.col("v")[0]["object_json"]).otherwise(many).alias("value"))
 
 
+@dataclass(frozen=True)
+class Graph:
+    """A property graph; plain values are folded into ``properties`` (simple) or kept as ``statements`` (full)."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    properties: DataFrame | None
+    statements: DataFrame | None
+
+    def write(self, folder: str) -> None:
+        """Each part as a Parquet table of ``folder``."""
+        for name in ("nodes", "edges", "properties", "statements"):
+            if (part := getattr(self, name)) is not None:
+                part.write.parquet(f"{folder}/{name}")
+
+
+def graph(facts: DataFrame, entities: DataFrame, mode: str = "simple", include_superseded: bool = False) -> Graph:
+    if mode not in ("simple", "full"):
+        raise ValueError("mode must be simple or full")
+    simple = mode == "simple"
+    return Graph(
+        graph_nodes(facts, entities, include_superseded), graph_edges(facts, include_superseded),
+        node_properties(facts, include_superseded) if simple else None, None if simple else graph_statements(facts, include_superseded),
+    )
+
+
 # Names of RDF and XML Schema, and the datatypes by kind of value and precision of time.
 RDF_TYPE = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"
 RDFS_LABEL = "<http://www.w3.org/2000/01/rdf-schema#label>"

@@ -446,3 +446,13 @@ def extract_with_model(
 def bare_triples(claims: DataFrame) -> DataFrame:
     """subject, predicate and object texts of claims."""
     return claims.select(F.col("subject.text").alias("subject"), "predicate", F.col("object.text").alias("object"))
+
+
+def from_triples(triples: DataFrame, evidence: Column, seq: Column) -> DataFrame:
+    """Claims from bare triples (subject, predicate, object as text) and the evidence array for them; objects are strings."""
+    none = F.lit(None).cast("string")
+    text = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.lit("string").alias("kind"), F.col(c).alias("text"), none.alias("hint")))
+    return triples.select(
+        seq.cast("long").alias("seq"), text("subject").alias("subject"), "predicate", text("object").alias("object"), evidence.alias("evidence"),
+        none.alias("valid_from"), none.alias("valid_to"), F.expr(f"CAST(map() AS MAP<STRING, {TERM_DDL}>)").alias("qualifiers"),
+    )

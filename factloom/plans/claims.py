@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import confidence as C
 from factloom.functions.terms import claim_id, key, ref
+from factloom.operators import conflicts as K
 from factloom.operators import extract as E
 from factloom.operators import pipeline as P
 from factloom.plans.store import entities_of, ontology_of, steady
@@ -40,6 +41,19 @@ def stocked_by(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def supply_conflicts(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items as claims that one supplier alone supplies a part for 90 days from a shipping date: claims that contradict."""
+    day = F.to_date("l_shipdate")
+    text = lambda d: F.date_format(d, "yyyy-MM-dd")
+    claims = table(spark, folder, "lineitem").groupBy("l_partkey", "l_suppkey", day.alias("day")).agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    facts = claims.select(
+        "seq", F.concat_ws("/", "l_partkey", "l_suppkey", text(F.col("day"))).alias("fact_id"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("subject_id"),
+        F.lit("SUPPLIED_BY").alias("predicate"), F.concat(F.lit("ref:supplier:"), F.col("l_suppkey").cast("string")).alias("object_key"),
+        text(F.col("day")).alias("valid_from"), text(F.date_add("day", 90)).alias("valid_to"), F.lit("active").alias("status"),
+    )
+    return K.detect(facts, spark.createDataFrame([("SUPPLIED_BY",)], "predicate string")).select("fact_a", "fact_b", "subject_id")
+
+
 def extracted_claims(spark: SparkSession, folder: str) -> DataFrame:
     found = E.extract(table(spark, folder, "documents"), PATTERNS)
     return found.select(
@@ -69,9 +83,13 @@ def ingested_facts(spark: SparkSession, folder: str) -> DataFrame:
     return done.facts.select("fact_id", "subject_id", "predicate", "object_key", "valid_from", "valid_to", F.round("confidence", 6).alias("confidence"))
 
 
-QUERIES = {"stocked_by": stocked_by, "extracted_claims": extracted_claims, "model_claims": model_claims, "ingested_facts": ingested_facts}
+QUERIES = {"stocked_by": stocked_by, "supply_conflicts": supply_conflicts, "extracted_claims": extracted_claims, "model_claims": model_claims, "ingested_facts": ingested_facts}
 
 SQL = {
+    "supply_conflicts": """
+with c as (select l_partkey as p, l_suppkey as s, cast(l_shipdate as date) as d, min(l_orderkey * 10 + l_linenumber) as seq from lineitem group by 1, 2, 3)
+select a.p || '/' || a.s || '/' || a.d as fact_a, b.p || '/' || b.s || '/' || b.d as fact_b, 'part:' || a.p as subject_id
+from c a join c b on a.p = b.p and a.seq < b.seq and a.s <> b.s and a.d < b.d + 90 and b.d < a.d + 90""",
     "stocked_by": """
 with m as (select l_partkey, l_suppkey, count(*) as n,
     1 - product(1 - l_quantity / 50 * 0.2 * case l_returnflag when 'R' then 0.4 when 'A' then 0.7 else 1.0 end) as c from lineitem group by 1, 2)

@@ -379,7 +379,20 @@ def checked_claims(spark: SparkSession, folder: str) -> DataFrame:
     return Q.check_claims(claims, facts, single_valued(spark, folder))
 
 
-@query()
+@query(f"""
+with f as (select * from facts where status = 'active' and confidence >= 0.5),
+o as (select fact_id, min(seq) as seq from f group by 1),
+c as (select fact_id, source_id, min(position) as position from evidence where source_id is not null group by 1, 2),
+n as (select source_id, row_number() over (order by min((seq, position)), source_id) as number from c join o using (fact_id) group by 1),
+m as (select fact_id, ' [' || string_agg(cast(number as varchar), ', ' order by position, number) || ']' as marks from c join n using (source_id) group by 1),
+d as (select f.*, marks, coalesce(s.label, subject_id, '') as subject_label, coalesce(e.label, {REF}, object_json) as object_label,
+    list_concat(list_transform(list_sort(json_keys(qualifiers_json)), lambda k: k || ': ' || json_extract_string(qualifiers_json, '$."' || k || '"')), list_filter([
+      case when valid_from is not null and valid_to is not null then 'from ' || trim(valid_from) || ' to ' || trim(valid_to)
+        when valid_from is not null then 'from ' || trim(valid_from) when valid_to is not null then 'until ' || trim(valid_to) end,
+      'confidence ' || printf('%.2f', confidence)], lambda x: x is not null)) as details
+  from f left join entities s on s.id = subject_id left join entities e on e.id = {REF} left join m using (fact_id))
+select seq, fact_id, '- ' || subject_label || ' ' || lower(trim(replace(predicate, '_', ' '))) || ' ' || object_label
+  || ' (' || array_to_string(details, '; ') || ')' || coalesce(marks, '') as line from d""")
 def rendered_facts(spark: SparkSession, folder: str) -> DataFrame:
     facts = A.find(table(spark, folder, "facts"), min_confidence=0.5)
     return Q.render_facts(facts, table(spark, folder, "evidence"), entities_of(spark, folder))

@@ -150,6 +150,14 @@ def test_model_extraction_isolates_bad_replies(spark):
     assert sorted((r["doc_id"], r["kind"]) for r in got) == [(1, "claim"), (1, "response"), (1, "skipped"), (2, "response"), (2, "skipped")]
 
 
+def test_bare_triples(spark):
+    docs = spark.createDataFrame([(1, BIO)], "doc_id long, text string")
+    triples = E.bare_triples(E.extract(docs, BORN))
+    assert [tuple(r) for r in triples.collect()] == [("Benjamin Franklin", "BORN_IN", "Boston")]
+    (claim,) = E.from_triples(triples, F.array(F.struct(F.lit(0.5).alias("confidence"), F.lit(None).cast("double").alias("authority"))), F.lit(1)).collect()
+    assert claim["subject"]["text"] == "Benjamin Franklin" and claim["object"]["kind"] == "string" and claim["evidence"][0]["confidence"] == 0.5
+
+
 def test_ingestion_end_to_end(spark):
     docs = spark.createDataFrame([(1, BIO, "bio"), (2, "Ben Franklin was born in Boston on January 17, 1706.", "letters"), (3, "Ben Franklin was born in Philadelphia on January 17, 1706.", "blog")], "doc_id long, text string, source string")
     sources = spark.createDataFrame([("bio", 0.9), ("letters", None), ("blog", 0.95)], "id string, authority double")

@@ -282,6 +282,15 @@ def test_exports(spark, kitchen, registry):
     assert X.ntriples(facts.limit(0), odd).first()["line"] == '<urn:factloom:entity/a%20b~%2A%22> <http://www.w3.org/2000/01/rdf-schema#label> "say \\"hi\\"\\n\\\\" .'
 
 
+def test_graph_modes(spark, kitchen, registry, tmp_path):
+    simple, full = X.graph(kitchen[0], registry), X.graph(kitchen[0], registry, "full")
+    assert simple.statements is None and simple.properties.count() == 1 and full.properties is None and full.statements.count() == 1
+    simple.write(f"file://{tmp_path}/graph")
+    assert spark.read.parquet(f"file://{tmp_path}/graph/edges").count() == 3
+    with pytest.raises(ValueError):
+        X.graph(kitchen[0], registry, "other")
+
+
 def test_rendering(spark, kitchen, registry):
     facts, evidence, sources = kitchen
     text = Q.render_text(Q.render_facts(facts, evidence, registry), Q.source_lines(facts, evidence, sources))
