@@ -33,11 +33,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{folder}"
 
 
+_written: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and return a scan of the copy.
 
-    The columns, types and rows are unchanged; row order is not kept.
+    The columns, types and rows are unchanged; row order is not kept.  The copy
+    stays until :func:`release`, for a result may be read from it again.
     """
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all copies that this process made; results that were not yet written are lost.  Returns their number."""
+    n = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
