@@ -109,6 +109,14 @@ def node_properties(facts: DataFrame, include_superseded: bool = False) -> DataF
     return listed.select("subject_id", "predicate", F.when(F.size("v") == 1, F.col("v")[0]["object_json"]).otherwise(many).alias("value"))
 
 
+def tables(facts: DataFrame, evidence: DataFrame, sources: DataFrame, entities: DataFrame, conflicts: DataFrame, include_superseded: bool = True) -> dict[str, DataFrame]:
+    """All seven normalised tables by name; sources and conflicts are exported whole either way."""
+    return {
+        "entities": entity_table(entities), "aliases": alias_table(entities), "sources": source_table(sources), "facts": fact_table(facts, include_superseded),
+        "evidence": evidence_table(facts, evidence, include_superseded), "qualifiers": qualifier_table(facts, include_superseded), "conflicts": conflict_table(conflicts),
+    }
+
+
 @dataclass(frozen=True)
 class Graph:
     """A property graph; plain values are folded into ``properties`` (simple) or kept as ``statements`` (full)."""
@@ -118,6 +126,11 @@ class Graph:
     properties: DataFrame | None
     statements: DataFrame | None
 
+    def to_dict(self) -> dict[str, list[dict]]:
+        """The parts as lists of dictionaries; for graphs that fit the driver."""
+        parts = {n: getattr(self, n) for n in ("nodes", "edges", "properties", "statements")}
+        return {n: [r.asDict(recursive=True) for r in part.collect()] for n, part in parts.items() if part is not None}
+
     def write(self, folder: str) -> None:
         """Each part as a Parquet table of ``folder``."""
         for name in ("nodes", "edges", "properties", "statements"):

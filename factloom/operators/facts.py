@@ -80,6 +80,24 @@ def find(
     return out
 
 
+def evidence_of(facts: DataFrame, evidence: DataFrame, sources: DataFrame) -> DataFrame:
+    """The evidence of the given facts with its sources: the rows of ``evidence`` and kind, title, uri and authority (null for an unknown source)."""
+    wanted = facts.select("fact_id").distinct()
+    known = sources.where("id is not null").select(F.col("id").alias("source_id"), "kind", "title", "uri", "authority")
+    rows = skew_join(evidence, wanted, ["fact_id"], F.col("position"), "left_semi")
+    return skew_join(rows, known, ["source_id"], F.xxhash64("fact_id", "position"), "left").select(*evidence.columns, "kind", "title", "uri", "authority")
+
+
+def sources_of(evidence: DataFrame) -> DataFrame:
+    """fact_id and ``source_ids``, the different sources of a fact by first position; null sources are left out.
+
+    The array is at most as long as there are sources.
+    """
+    first = evidence.where("source_id is not null").groupBy("fact_id", "source_id").agg(F.min("position").alias("position"))
+    listed = first.groupBy("fact_id").agg(F.array_sort(F.collect_list(F.struct("position", "source_id"))).alias("s"))
+    return listed.select("fact_id", F.transform("s", lambda x: x["source_id"]).alias("source_ids"))
+
+
 def first_seen_sources(facts: DataFrame, evidence: DataFrame, sources: DataFrame) -> DataFrame:
     """The sources that any fact cites, each with the seq of the first fact and position that do."""
     order = facts.where("fact_id is not null").groupBy("fact_id").agg(F.min("seq").alias("seq"))

@@ -89,6 +89,39 @@ def render_text(lines: DataFrame, sources: DataFrame) -> str:
     return "\n".join(facts + (["", "Sources:", *cited] if facts and cited else []))
 
 
+def _asked(claims: DataFrame, entities: DataFrame | None) -> DataFrame:
+    """claim_id, subject_id, predicate and ``keys``, the object keys that would support the claim."""
+    asked = claims.select("claim_id", "subject", "predicate", "object")
+    text = F.when(F.col("object").startswith("name:"), F.substring("object", 6, 1 << 20))
+    keys = F.when(text.isNotNull(), F.array(F.concat(F.lit("str:"), text), F.concat(F.lit("ref:"), text))).otherwise(F.array("object"))
+    if entities is None:
+        return asked.select("claim_id", F.col("subject").alias("subject_id"), "predicate", keys.alias("keys"))
+    known = entities.select(F.col("id").alias("subject")).distinct().withColumn("is_id", F.lit(True))
+    mentions = asked.select(F.col("subject").alias("text")).unionByName(asked.select(text.alias("text"))).distinct().withColumn("hint", F.lit(None).cast("string"))
+    named = resolve(mentions, entities).select("text", "entity_id")
+    asked = asked.withColumn("text", text).join(known, "subject", "left").join(named.select(F.col("text").alias("subject"), F.col("entity_id").alias("named")), "subject", "left")
+    meant = asked.join(named.withColumnRenamed("entity_id", "meant"), "text", "left")
+    return meant.select(
+        "claim_id", F.when(F.col("is_id"), F.col("subject")).otherwise(F.col("named")).alias("subject_id"), "predicate",
+        F.array_compact(F.concat(keys, F.array(F.concat(F.lit("ref:"), "meant")))).alias("keys"),
+    )
+
+
+def _believed(facts: DataFrame, at: Column | str | None) -> DataFrame:
+    active = facts.where("status = 'active'")
+    if at is None:
+        return active
+    moment = earliest_second(F.lit(at)) if isinstance(at, str) else at
+    return active.where(contains(earliest_second(F.col("valid_from")), earliest_second(F.col("valid_to")), moment))
+
+
+def supporting_evidence(claims: DataFrame, facts: DataFrame, evidence: DataFrame, entities: DataFrame | None = None, at: Column | str | None = None) -> DataFrame:
+    """claim_id, and the evidence of every active fact that supports the claim, each fact once."""
+    believed = _believed(facts, at).select("subject_id", "predicate", "object_key", "fact_id").distinct()
+    hits = _asked(claims, entities).join(believed, ["subject_id", "predicate"]).where(F.array_contains("keys", F.col("object_key"))).select("claim_id", "fact_id").distinct()
+    return hits.join(evidence, "fact_id").select("claim_id", *evidence.columns)
+
+
 def check_claims(claims: DataFrame, facts: DataFrame, single_valued: DataFrame, entities: DataFrame | None = None, at: Column | str | None = None) -> DataFrame:
     """Verdict on each claim: supported, contradicted (single-valued predicate with other values only), disputed (both) or unknown.
 
@@ -99,24 +132,7 @@ def check_claims(claims: DataFrame, facts: DataFrame, single_valued: DataFrame,
     of the supporting facts.  Names never create entities; an ambiguous or
     unknown subject gives unknown.  ``at`` limits the facts to those valid then.
     """
-    asked = claims.select("claim_id", "subject", "predicate", "object")
-    text = F.when(F.col("object").startswith("name:"), F.substring("object", 6, 1 << 20))
-    keys = F.when(text.isNotNull(), F.array(F.concat(F.lit("str:"), text), F.concat(F.lit("ref:"), text))).otherwise(F.array("object"))
-    if entities is not None:
-        known = entities.select(F.col("id").alias("subject")).distinct().withColumn("is_id", F.lit(True))
-        mentions = asked.select(F.col("subject").alias("text")).unionByName(asked.select(text.alias("text"))).distinct().withColumn("hint", F.lit(None).cast("string"))
-        named = resolve(mentions, entities).select("text", "entity_id")
-        asked = asked.join(known, "subject", "left").join(named.withColumnRenamed("text", "subject").withColumnRenamed("entity_id", "named"), "subject", "left")
-        asked = asked.withColumn("subject_id", F.when(F.col("is_id"), F.col("subject")).otherwise(F.col("named"))).drop("is_id", "named")
-        asked = asked.withColumn("text", text).join(named.withColumnRenamed("entity_id", "meant"), "text", "left")
-        keys = F.array_compact(F.concat(keys, F.array(F.concat(F.lit("ref:"), "meant"))))
-    else:
-        asked = asked.withColumn("subject_id", F.col("subject"))
-    asked = asked.withColumn("keys", keys)
-    believed = facts.where("status = 'active'")
-    if at is not None:
-        moment = earliest_second(F.lit(at)) if isinstance(at, str) else at
-        believed = believed.where(contains(earliest_second(F.col("valid_from")), earliest_second(F.col("valid_to")), moment))
+    asked, believed = _asked(claims, entities), _believed(facts, at)
     # facts are reduced to the different values per subject and predicate before they meet the claims
     values = believed.groupBy("subject_id", "predicate", "object_key").agg(F.countDistinct("fact_id").alias("n"), F.max("confidence").alias("best"))
     single = single_valued.select("predicate").distinct().withColumn("single", F.lit(True))

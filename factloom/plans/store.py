@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from factloom.functions import names as N
 from factloom.functions.temporal import earliest_second, is_naive, precision, written
 from factloom.functions.terms import decode, key, ref
+from factloom.operators import checks as H
 from factloom.operators import conflicts as K
 from factloom.operators import export as X
 from factloom.operators import facts as A
@@ -155,6 +156,39 @@ def citation_numbers(spark: SparkSession, folder: str) -> DataFrame:
     return Q.citations(table(spark, folder, "facts"), table(spark, folder, "evidence"))
 
 
+@query("""select e.fact_id, position, source_id, kind, title, authority from evidence e left join sources on sources.id = source_id
+where fact_id in (select fact_id from facts where predicate = 'BORN_IN' and status = 'active')""")
+def born_in_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    facts = A.find(table(spark, folder, "facts"), predicate="BORN_IN")
+    out = A.evidence_of(facts, table(spark, folder, "evidence"), table(spark, folder, "sources"))
+    return out.select("fact_id", "position", "source_id", "kind", "title", "authority")
+
+
+@query("""select fact_id, string_agg(source_id, '|' order by position, source_id) as source_ids
+from (select fact_id, source_id, min(position) as position from evidence where source_id is not null group by 1, 2) group by 1""")
+def fact_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return A.sources_of(table(spark, folder, "evidence")).withColumn("source_ids", F.array_join("source_ids", "|"))
+
+
+@query("""select fact_id, max(f.confidence) as confidence, max(authority) as authority, cast(epoch_us(max(extracted_at)) as double) as latest
+from (select fact_id, max(confidence) as confidence from facts group by 1) f left join evidence using (fact_id) left join sources on sources.id = source_id group by 1""")
+def fact_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return K.scores(table(spark, folder, "facts"), table(spark, folder, "evidence"), table(spark, folder, "sources"))
+
+
+@query("""select id, array_to_string(list_filter([case when id = '' or id is null then 'empty id' end, case when kind not in ('document', 'api', 'human', 'model') or kind is null then 'unknown kind' end,
+  case when authority not between 0 and 1 then 'authority beyond 0 to 1' end], lambda x: x is not null), '|') as reasons from sources
+where id = '' or id is null or kind not in ('document', 'api', 'human', 'model') or kind is null or authority not between 0 and 1""")
+def refused_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return H.refused_sources(table(spark, folder, "sources")).withColumn("reasons", F.array_join("reasons", "|"))
+
+
+@query("""select fact_id, position, case when source_id is null then 'no source' else 'unknown source' end as reasons
+from evidence where source_id is null or source_id not in (select id from sources)""")
+def refused_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    return H.refused_evidence(table(spark, folder, "evidence"), table(spark, folder, "sources")).withColumn("reasons", F.array_join("reasons", "|"))
+
+
 # Validation
 
 
@@ -379,6 +413,15 @@ def checked_claims(spark: SparkSession, folder: str) -> DataFrame:
     return Q.check_claims(claims, facts, single_valued(spark, folder))
 
 
+@query("""select distinct c.seq as claim_id, e.fact_id, e.position, e.source_id from facts c join facts f
+  on f.subject_id = c.subject_id and f.predicate = c.predicate and f.object_key = c.object_key and f.status = 'active' join evidence e on e.fact_id = f.fact_id
+where c.status = 'superseded'""")
+def supporting_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    facts = table(spark, folder, "facts")
+    claims = facts.where("status = 'superseded' and subject_id is not null").select(F.col("seq").alias("claim_id"), F.col("subject_id").alias("subject"), "predicate", F.col("object_key").alias("object"))
+    return Q.supporting_evidence(claims, facts, table(spark, folder, "evidence")).select("claim_id", "fact_id", "position", "source_id").distinct()
+
+
 @query(f"""
 with f as (select * from facts where status = 'active' and confidence >= 0.5),
 o as (select fact_id, min(seq) as seq from f group by 1),

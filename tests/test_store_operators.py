@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions.terms import TERM_DDL
+from factloom.operators import checks as H
 from factloom.operators import conflicts as K
 from factloom.operators import export as X
 from factloom.operators import facts as A
@@ -285,6 +286,11 @@ def test_exports(spark, kitchen, registry):
 def test_graph_modes(spark, kitchen, registry, tmp_path):
     simple, full = X.graph(kitchen[0], registry), X.graph(kitchen[0], registry, "full")
     assert simple.statements is None and simple.properties.count() == 1 and full.properties is None and full.statements.count() == 1
+    assert {e["target"] for e in simple.to_dict()["edges"]} == {"place:boston", "place:philadelphia", "org:post-office"}
+    facts, evidence, sources = kitchen
+    conflicts = K.numbered(K.judged(K.detect(facts, single(spark)), facts, "keep_both"), F.lit("2026-01-02 00:00:00"), "keep_both")
+    sizes = {n: t.count() for n, t in X.tables(facts, evidence, sources, registry, conflicts).items()}
+    assert sizes == {"entities": 8, "aliases": 1, "sources": 3, "facts": 4, "evidence": 5, "qualifiers": 1, "conflicts": 1}
     simple.write(f"file://{tmp_path}/graph")
     assert spark.read.parquet(f"file://{tmp_path}/graph/edges").count() == 3
     with pytest.raises(ValueError):
@@ -317,6 +323,28 @@ def test_claim_checks(spark, kitchen, registry):
     assert {r["claim_id"]: r["verdict"] for r in Q.check_claims(claims, settled, single(spark), registry).collect()}[1] == "supported"
 
 
+def test_supporting_evidence(spark, kitchen, registry):
+    facts, evidence, _ = kitchen
+    claims = spark.createDataFrame([(1, "Ben Franklin", "BORN_IN", "name:Boston"), (2, "nobody", "BORN_IN", "name:Boston")], "claim_id long, subject string, predicate string, object string")
+    got = Q.supporting_evidence(claims, facts.unionByName(facts), evidence, registry)
+    assert sorted((r["claim_id"], r["fact_id"], r["position"]) for r in got.collect()) == [(1, "f1", 0), (1, "f1", 1)]
+    assert Q.supporting_evidence(claims, facts, evidence, registry, at="1700").count() == 0
+
+
+def test_evidence_with_sources(spark, kitchen):
+    facts, evidence, sources = kitchen
+    got = A.evidence_of(facts.where("fact_id = 'f1'"), evidence, sources.where("id <> 'letters'"))
+    assert sorted((r["position"], r["title"]) for r in got.collect()) == [(0, "Encyclopedia"), (1, None)]
+    assert {r["fact_id"]: r["source_ids"] for r in A.sources_of(evidence.unionByName(evidence)).collect()}["f1"] == ["encyclopedia", "letters"]
+
+
+def test_refusals(spark):
+    sources = spark.createDataFrame([("", "document", 0.5), (None, "odd", None), ("a", "api", 1.5), ("b", None, 0.0), ("c", "model", 1.0)], "id string, kind string, authority double")
+    assert {r["id"]: r["reasons"] for r in H.refused_sources(sources).collect()} == {"": ["empty id"], None: ["empty id", "unknown kind"], "a": ["authority beyond 0 to 1"], "b": ["unknown kind"]}
+    evidence = spark.createDataFrame([("f", 0, "c", 0.5), ("f", 1, None, 2.0), ("f", 2, "zz", None)], "fact_id string, position long, source_id string, confidence double")
+    assert {r["position"]: r["reasons"] for r in H.refused_evidence(evidence, sources).collect()} == {1: ["no source", "confidence beyond 0 to 1"], 2: ["unknown source"]}
+
+
 # The store
 
 
