@@ -82,7 +82,7 @@ with bounds as (
   where status = 'active' and subject_id is not null
     and predicate in (select name from predicates where temporal = 'span')),
 spans as (
-  select subject_id, predicate, coalesce(s, -1e15) as s, coalesce(e, 1e15) as e
+  select distinct subject_id, predicate, coalesce(s, -1e15) as s, coalesce(e, 1e15) as e
   from bounds
   where (s is not null or valid_from is null) and (e is not null or valid_to is null)
     and coalesce(e, 1e15) > coalesce(s, -1e15)),
