@@ -87,9 +87,10 @@ QUERIES = {"stocked_by": stocked_by, "supply_conflicts": supply_conflicts, "extr
 
 SQL = {
     "supply_conflicts": """
-with c as (select l_partkey as p, l_suppkey as s, cast(l_shipdate as date) as d, min(l_orderkey * 10 + l_linenumber) as seq from lineitem group by 1, 2, 3)
-select a.p || '/' || a.s || '/' || a.d as fact_a, b.p || '/' || b.s || '/' || b.d as fact_b, 'part:' || a.p as subject_id
-from c a join c b on a.p = b.p and a.seq < b.seq and a.s <> b.s and a.d < b.d + 90 and b.d < a.d + 90""",
+with c as (select l_partkey as p, l_suppkey as s, cast(l_shipdate as date) as d, min(l_orderkey * 10 + l_linenumber) as seq,
+    l_partkey || '/' || l_suppkey || '/' || cast(l_shipdate as date) as id from lineitem group by all)
+select a.id as fact_a, b.id as fact_b, 'part:' || a.p as subject_id
+from c a join c b on a.p = b.p and (a.seq < b.seq or a.seq = b.seq and a.id < b.id) and a.s <> b.s and a.d < b.d + 90 and b.d < a.d + 90""",
     "stocked_by": """
 with m as (select l_partkey, l_suppkey, count(*) as n,
     1 - product(1 - l_quantity / 50 * 0.2 * case l_returnflag when 'R' then 0.4 when 'A' then 0.7 else 1.0 end) as c from lineitem group by 1, 2)
