@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.temporal import AFTER_ALL, BEFORE_ALL
+from factloom.lineage import cut
 
 #: Stand-ins for open bounds; they lie outside every valid second.
 NO_START, NO_END = BEFORE_ALL, AFTER_ALL
@@ -38,7 +39,8 @@ def _ranked_boundaries(intervals: DataFrame, keys: Sequence[str], start: str, en
         ).alias("b"),
     )
     group = [f"k{i}" for i in range(len(keys))] + ["kind"]
-    counted = (
+    # written once: starts and ends, their ranks and the days' totals all read it
+    counted = cut(
         boundaries.select(*group[:-1], "b.*")
         .groupBy(*group, "t")
         .agg(F.count(F.lit(1)).alias("n"))
