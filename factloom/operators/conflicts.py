@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.temporal import earliest_second, overlaps
+from factloom.lineage import cut
+from factloom.operators.intervals import overlap_counts
 from factloom.skew import skew_join
 
 POLICIES = ("keep_both", "highest_confidence", "highest_authority", "most_recent_evidence")
@@ -49,6 +51,22 @@ def detect(facts: DataFrame, single_valued: DataFrame) -> DataFrame:
     )
 
 
+def rival_counts(facts: DataFrame, single_valued: DataFrame) -> DataFrame:
+    """Each active claim of a single-valued predicate with the number of claims that contradict it, without forming pairs.
+
+    rep, subject_id, predicate, object_key, members, n_rivals.  It is the number
+    of claims of its subject and predicate that share an instant with it, less
+    those with its own object.  Where a group has very many claims this tells
+    what :func:`detect` would list.  Claims whose end is not after their start
+    hold at no instant and are left out.
+    """
+    claims = cut(claims_of(facts.where("status = 'active'").join(single_valued, "predicate", "left_semi")).where("object_key is not null"))
+    every = overlap_counts(claims, ["subject_id", "predicate"], name="n_all")
+    return overlap_counts(every, ["subject_id", "predicate", "object_key"], name="n_same").select(
+        "rep", "subject_id", "predicate", "object_key", "members", (F.col("n_all") - F.col("n_same")).alias("n_rivals")
+    )
+
+
 def scores(facts: DataFrame, evidence: DataFrame, sources: DataFrame) -> DataFrame:
     """Per fact what the policies compare: confidence, authority (best of its sources), latest (microseconds); null for unknown."""
     trust = sources.where("id is not null").groupBy(F.col("id").alias("source_id")).agg(F.max("authority").alias("authority"))

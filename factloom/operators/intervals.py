@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.temporal import AFTER_ALL, BEFORE_ALL
 from factloom.lineage import cut
+from factloom.skew import skew_join
 
 #: Stand-ins for open bounds; they lie outside every valid second.
 NO_START, NO_END = BEFORE_ALL, AFTER_ALL
@@ -117,3 +118,39 @@ def periods(intervals: DataFrame, keys: Sequence[str], start: str = "start", end
             F.when(F.coalesce("end", "last") < NO_END, F.coalesce("end", "last")).alias("end"),
         )
     )
+
+
+def overlap_counts(intervals: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", name: str = "n_overlapping") -> DataFrame:
+    """The rows of ``intervals`` with the number of intervals of their group that share an instant with them, themselves included.
+
+    No pairs are formed: an interval meets all that have begun before its end,
+    less those that have ended by its start.  Both counts are running sums over
+    the group's different boundaries, taken within days as in :func:`gaps`.
+
+    Rows with a null key or whose end is not after their start are left out;
+    null bounds are open; repeated rows count each.
+    """
+    columns = intervals.columns
+    group = [f"__k{i}" for i in range(len(keys))]
+    valid = (
+        intervals.dropna(subset=list(keys)).withColumns(dict(zip(group, map(F.col, keys), strict=True)))
+        .withColumns({"__s": F.coalesce(F.col(start), F.lit(NO_START)), "__e": F.coalesce(F.col(end), F.lit(NO_END))}).where("__e > __s")
+    )
+    both = F.explode(F.array(F.struct(F.col("__s").alias("t"), F.lit(1).alias("b"), F.lit(0).alias("c")), F.struct(F.col("__e").alias("t"), F.lit(0).alias("b"), F.lit(1).alias("c"))))
+    counted = cut(
+        valid.select(*group, both.alias("x")).select(*group, "x.*").groupBy(*group, "t").agg(F.sum("b").alias("begun"), F.sum("c").alias("ended"))
+        .withColumn("day", F.floor(F.col("t") / 86400))
+    )
+    days = Window.partitionBy(*group).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    carried = counted.groupBy(*group, "day").agg(F.sum("begun").alias("b"), F.sum("ended").alias("c")).select(
+        *group, "day", *[F.coalesce(F.sum(x).over(days), F.lit(0)).alias(f"{x}_before") for x in "bc"]
+    )
+    upto = Window.partitionBy(*group, "day").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    sums = counted.withColumns({"b": F.sum("begun").over(upto), "c": F.sum("ended").over(upto)}).join(carried, [*group, "day"]).select(
+        *group, "t", (F.col("b") + F.col("b_before") - F.col("begun")).alias("began_before"), (F.col("c") + F.col("c_before")).alias("ended_by")
+    )
+    at_end = sums.select(*group, F.col("t").alias("__e"), "began_before")
+    at_start = sums.select(*group, F.col("t").alias("__s"), "ended_by")
+    spread = F.col("__s")
+    met = skew_join(skew_join(valid, at_end, [*group, "__e"], spread), at_start, [*group, "__s"], F.col("__e"))
+    return met.select(*columns, (F.col("began_before") - F.col("ended_by")).alias(name))

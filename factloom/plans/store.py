@@ -269,6 +269,13 @@ def conflict_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return K.detect(table(spark, folder, "facts"), single_valued(spark, folder)).select("fact_a", "fact_b", "subject_id", "predicate")
 
 
+@query(f"""{_CLAIMS}, v as (select * from k where object_key is not null and (s is null or e is null or e > s))
+select a.rep, a.subject_id, a.predicate, a.object_key, (select count(*) from v b where a.subject_id = b.subject_id and a.predicate = b.predicate and a.object_key <> b.object_key
+  and (a.e is null or b.s is null or a.e > b.s) and (b.e is null or a.s is null or b.e > a.s)) as n_rivals from v a""")
+def rival_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return K.rival_counts(table(spark, folder, "facts"), single_valued(spark, folder)).drop("members")
+
+
 def _judged(spark: SparkSession, folder: str, policy: str) -> DataFrame:
     facts = table(spark, folder, "facts")
     measured = K.scores(facts, table(spark, folder, "evidence"), table(spark, folder, "sources"))

@@ -51,3 +51,19 @@ def test_touching_nested_and_unbounded(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert intervals.gaps(df, ["g"]).count() == 0 and intervals.periods(df, ["g"]).count() == 0
+
+
+def test_overlap_counts_match_all_pairs(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(300):
+        s, n = rng.randrange(0, 300_000), rng.choice([-1, 0, 1, 90_000, 400])
+        rows.append((rng.choice(["a", "a", "b", None]), None if rng.random() < 0.1 else s, None if rng.random() < 0.1 else s + n, str(i)))
+    rows += rows[:10]
+    inf = 10**15
+    spans = [(g, -inf if s is None else s, inf if e is None else e, i) for g, s, e, i in rows]
+    spans = [x for x in spans if x[0] is not None and x[2] > x[1]]
+    want = sorted((i, sum(g == h and s < f and t < e for h, t, f, _ in spans)) for g, s, e, i in spans)
+    got = intervals.overlap_counts(spark.createDataFrame(rows, SCHEMA).repartition(3), ["g"])
+    assert sorted((r["gap_from"], r["n_overlapping"]) for r in got.collect()) == want
+    assert intervals.overlap_counts(spark.createDataFrame([], SCHEMA), ["g"]).count() == 0
