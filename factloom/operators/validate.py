@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import confidence as C
-from factloom.functions.temporal import earliest_second, is_naive, precision
+from factloom.functions.temporal import earliest_second, is_naive
 from factloom.functions.terms import claim_id, key
 from factloom.operators.ontology import Ontology
 from factloom.skew import skew_join
@@ -39,15 +39,26 @@ def _structure(n_evidence: Column | None) -> list[Column]:
     return rules
 
 
+#: Read once per claim and dropped again: the bounds' first second, whether they lack a zone, and whether they cannot be read.
+_BOUNDS = {"valid_from": "__from", "valid_to": "__to"}
+
+
+def _with_bounds(claims: DataFrame) -> DataFrame:
+    columns = {}
+    for bound, name in _BOUNDS.items():
+        c = F.col(bound)
+        columns |= {f"{name}_at": earliest_second(c), f"{name}_naive": F.coalesce(is_naive(c), F.lit(False))}
+    return claims.withColumns(columns)
+
+
 def _time() -> list[Column]:
-    start, end = F.col("valid_from"), F.col("valid_to")
-    naive = lambda c: F.coalesce(is_naive(c), F.lit(False))
-    unread = lambda c: c.isNotNull() & precision(c).isNull() | (precision(c).isNotNull() & ~naive(c) & earliest_second(c).isNull())
-    return [
-        *[F.when(naive(c), finding("time.naive", ERROR, F.concat(F.lit(f"{n} has no time zone: "), c))) for n, c in (("valid_from", start), ("valid_to", end))],
-        *[F.when(unread(c), finding("time.invalid", ERROR, F.concat(F.lit(f"{n} is no time: "), c))) for n, c in (("valid_from", start), ("valid_to", end))],
-        F.when(~naive(start) & ~naive(end) & (earliest_second(end) <= earliest_second(start)), finding("time.empty_interval", ERROR, "valid_to is not after valid_from")),
-    ]
+    naive, unread = [], []
+    for bound, name in _BOUNDS.items():
+        naive.append(F.when(F.col(f"{name}_naive"), finding("time.naive", ERROR, F.concat(F.lit(f"{bound} has no time zone: "), bound))))
+        lost = F.col(bound).isNotNull() & ~F.col(f"{name}_naive") & F.col(f"{name}_at").isNull()
+        unread.append(F.when(lost, finding("time.invalid", ERROR, F.concat(F.lit(f"{bound} is no time: "), bound))))
+    empty = ~F.col("__from_naive") & ~F.col("__to_naive") & (F.col("__to_at") <= F.col("__from_at"))
+    return [*naive, *unread, F.when(empty, finding("time.empty_interval", ERROR, "valid_to is not after valid_from"))]
 
 
 def _type_check(role: str, rule: str, id_: Column, type_: Column, known: Column, allowed: Column, registry: bool) -> Column:
@@ -107,7 +118,7 @@ def validate(
     """
     if reject_below > accept_at:
         raise ValueError("reject_below must not exceed accept_at")
-    out = claims
+    out = _with_bounds(claims)
     n_evidence = weighed[1] if weighed else F.size("evidence")
     found = _structure(n_evidence if require_evidence else None) + _time()
     if ontology is not None:
@@ -135,7 +146,7 @@ def validate(
         "fact_id",
         F.when(F.col("status") == ACCEPTED, claim_id(key(F.col("subject")), F.col("predicate"), key(F.col("object")), F.col("valid_from"), F.col("valid_to"), F.col("qualifiers"))),
     )
-    helpers = ["domain", "domain_types", "range_name", "range_kind", "range_types", "cardinality", "temporal", *[f"{s}_{n}" for s in "so" for n in ("id", "type", "known")]]
+    helpers = ["domain", "domain_types", "range_name", "range_kind", "range_types", "cardinality", "temporal", *[f"{s}_{n}" for s in "so" for n in ("id", "type", "known")], *[f"{n}_{k}" for n in _BOUNDS.values() for k in ("at", "naive")]]
     return out.drop(*helpers)
 
 
