@@ -239,7 +239,7 @@ def _org(text: str) -> Form | None:
         w = token.rstrip(".")
         if w in LINKS:
             continue
-        if w in RANKS and not core or w in RANKS and len(core) == 0:
+        if w in RANKS and not core:
             ranks.append(w)
         elif known := _org_word(w):
             words.append(known)
