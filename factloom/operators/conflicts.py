@@ -30,16 +30,17 @@ def claims_of(facts: DataFrame) -> DataFrame:
     )
 
 
-def detect(facts: DataFrame, single_valued: DataFrame) -> DataFrame:
+def detect(facts: DataFrame, single_valued: DataFrame | None) -> DataFrame:
     """Pairs of active claims that contradict: fact_a (earlier), fact_b, subject_id, predicate.
 
-    Two claims contradict if a predicate of ``single_valued`` (predicate) has
+    Two claims contradict if a predicate of ``single_valued`` (predicate; None: any) has
     different objects for one subject over periods that share an instant.  Pairs
     are between the first facts of the different claims (:func:`claims_of`), so
     copies are not expanded.  The join is on the subject and predicate, salted;
     periods and objects are conditions on it.
     """
-    claims = claims_of(facts.where("status = 'active'").join(single_valued, "predicate", "left_semi"))
+    active = facts.where("status = 'active'")
+    claims = claims_of(active if single_valued is None else active.join(single_valued, "predicate", "left_semi"))
     columns = ["seq", "rep", "object_key", "start", "end"]
     a = claims.select("subject_id", "predicate", *[F.col(c).alias(f"a_{c}") for c in columns])
     b = claims.select("subject_id", "predicate", *[F.col(c).alias(f"b_{c}") for c in columns])
