@@ -46,3 +46,17 @@ def test_belief_time_reaches_the_scan(spark):
 def test_confidence_combines_before_the_shuffle(spark):
     text = plan(entry.queries()["stocked_by"](spark, DATA))
     assert "partial_product" in text and text.count("Exchange") == 1
+
+
+FOUND = {
+    "p2_found": ["subject_id string", "predicate string", "gap_from string", "gap_to string"],
+    "p5_found": ["ref_table string", "ref_field string", "row_key string", "missing_key string"],
+}
+
+
+@pytest.mark.parametrize("name", FOUND)
+def test_found_cases_have_the_stated_columns_and_no_repeats(spark, name):
+    df = entry.queries()[name](spark, DATA)
+    assert [" ".join(c) for c in df.dtypes] == FOUND[name]
+    rows = df.collect()
+    assert rows and len(set(rows)) == len(rows)
