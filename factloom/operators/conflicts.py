@@ -30,17 +30,35 @@ def claims_of(facts: DataFrame) -> DataFrame:
     )
 
 
-def detect(facts: DataFrame, single_valued: DataFrame | None) -> DataFrame:
+def arrivals(facts: DataFrame) -> DataFrame:
+    """Each different fact_id once, as it first arrived: copies by fact_id say nothing new."""
+    kept = ["seq", "subject_id", "predicate", "object_key", "valid_from", "valid_to"]
+    known = facts.where("subject_id is not null and predicate is not null and fact_id is not null")
+    return known.groupBy("fact_id").agg(F.min_by(F.struct(*kept), "seq").alias("f")).select("fact_id", "f.*")
+
+
+def members_of(facts: DataFrame) -> DataFrame:
+    """The claim of each different fact (:func:`claims_of`): fact_id, seq, rep."""
+    return _members(cut(arrivals(facts)))
+
+
+def _members(first: DataFrame) -> DataFrame:
+    keys, same = ["subject_id", "predicate", "claim"], F.struct("object_key", "start", "end").alias("claim")  # nulls within a struct are equal
+    bounds = [earliest_second(F.col("valid_from")).alias("start"), earliest_second(F.col("valid_to")).alias("end")]
+    read = first.select("fact_id", "seq", "subject_id", "predicate", "object_key", *bounds).select("fact_id", "seq", "subject_id", "predicate", same)
+    return skew_join(read, claims_of(first).select("subject_id", "predicate", same, "rep"), keys, F.col("fact_id")).select("fact_id", "seq", "rep")
+
+
+def detect_claims(facts: DataFrame, single_valued: DataFrame | None) -> DataFrame:
     """Pairs of active claims that contradict: fact_a (earlier), fact_b, subject_id, predicate.
 
     Two claims contradict if a predicate of ``single_valued`` (predicate; None: any) has
     different objects for one subject over periods that share an instant.  Pairs
-    are between the first facts of the different claims (:func:`claims_of`), so
-    copies are not expanded.  The join is on the subject and predicate, salted;
-    periods and objects are conditions on it.
+    are between the first facts of the different claims (:func:`claims_of`);
+    :func:`detect` has those of all facts.  The join is on the subject and
+    predicate, salted; periods and objects are conditions on it.
     """
-    active = facts.where("status = 'active'")
-    claims = claims_of(active if single_valued is None else active.join(single_valued, "predicate", "left_semi"))
+    claims = claims_of(_active(facts, single_valued))
     columns = ["seq", "rep", "object_key", "start", "end"]
     a = claims.select("subject_id", "predicate", *[F.col(c).alias(f"a_{c}") for c in columns])
     b = claims.select("subject_id", "predicate", *[F.col(c).alias(f"b_{c}") for c in columns])
@@ -52,13 +70,38 @@ def detect(facts: DataFrame, single_valued: DataFrame | None) -> DataFrame:
     )
 
 
+def _active(facts: DataFrame, single_valued: DataFrame | None) -> DataFrame:
+    active = facts.where("status = 'active'")
+    return active if single_valued is None else active.join(single_valued, "predicate", "left_semi")
+
+
+def detect(facts: DataFrame, single_valued: DataFrame | None) -> DataFrame:
+    """Every two different active facts that contradict: fact_a (earlier), fact_b, subject_id, predicate, seq_a, seq_b.
+
+    Facts contradict if their claims do (:func:`detect_claims`).  So claims are
+    paired, of which there are fewer, and then stand for their members: facts of
+    one claim differ in qualifiers, confidence and evidence, and each is a rival
+    of its own.
+    """
+    first = cut(arrivals(_active(facts, single_valued))).withColumn("status", F.lit("active"))
+    members = cut(_members(first))
+    pairs = detect_claims(first, None).select(F.col("fact_a").alias("claim_a"), F.col("fact_b").alias("claim_b"), "subject_id", "predicate")
+    for side, other in (("a", "claim_b"), ("b", "fact_a")):
+        each = members.select(F.col("rep").alias(f"claim_{side}"), F.struct("seq", "fact_id").alias(f"of_{side}"), F.col("fact_id").alias(f"fact_{side}"))
+        pairs = skew_join(pairs, each, [f"claim_{side}"], F.col(other))
+    earlier, later = F.least("of_a", "of_b"), F.greatest("of_a", "of_b")
+    return pairs.select(
+        earlier["fact_id"].alias("fact_a"), later["fact_id"].alias("fact_b"), "subject_id", "predicate", earlier["seq"].alias("seq_a"), later["seq"].alias("seq_b")
+    )
+
+
 def rival_counts(facts: DataFrame, single_valued: DataFrame) -> DataFrame:
     """Each active claim of a single-valued predicate with the number of claims that contradict it, without forming pairs.
 
     rep, subject_id, predicate, object_key, members, n_rivals.  It is the number
     of claims of its subject and predicate that share an instant with it, less
     those with its own object.  Where a group has very many claims this tells
-    what :func:`detect` would list.  Claims whose end is not after their start
+    what :func:`detect_claims` would list.  Claims whose end is not after their start
     hold at no instant and are left out.
     """
     claims = cut(claims_of(facts.where("status = 'active'").join(single_valued, "predicate", "left_semi")).where("object_key is not null"))
@@ -68,6 +111,19 @@ def rival_counts(facts: DataFrame, single_valued: DataFrame) -> DataFrame:
     )
 
 
+def fact_rival_counts(facts: DataFrame, single_valued: DataFrame) -> DataFrame:
+    """Each different active fact of a single-valued predicate with the number of facts that contradict it: what :func:`detect` would list.
+
+    fact_id, subject_id, predicate, object_key, n_rivals; as :func:`rival_counts`, but each fact counts.
+    """
+    bounds = [earliest_second(F.col("valid_from")).alias("start"), earliest_second(F.col("valid_to")).alias("end")]
+    each = cut(arrivals(_active(facts, single_valued)).where("object_key is not null").select("fact_id", "subject_id", "predicate", "object_key", *bounds))
+    every = overlap_counts(each, ["subject_id", "predicate"], name="n_all")
+    return overlap_counts(every, ["subject_id", "predicate", "object_key"], name="n_same").select(
+        "fact_id", "subject_id", "predicate", "object_key", (F.col("n_all") - F.col("n_same")).alias("n_rivals")
+    )
+
+
 def scores(facts: DataFrame, evidence: DataFrame, sources: DataFrame) -> DataFrame:
     """Per fact what the policies compare: confidence, authority (best of its sources), latest (microseconds); null for unknown."""
     trust = sources.where("id is not null").groupBy(F.col("id").alias("source_id")).agg(F.max("authority").alias("authority"))

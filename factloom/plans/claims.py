@@ -51,7 +51,7 @@ def supply_conflicts(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("SUPPLIED_BY").alias("predicate"), F.concat(F.lit("ref:supplier:"), F.col("l_suppkey").cast("string")).alias("object_key"),
         text(F.col("day")).alias("valid_from"), text(F.date_add("day", 90)).alias("valid_to"), F.lit("active").alias("status"),
     )
-    return K.detect(facts, None).select("fact_a", "fact_b", "subject_id")
+    return K.detect_claims(facts, None).select("fact_a", "fact_b", "subject_id")  # here a claim is one fact
 
 
 def extracted_claims(spark: SparkSession, folder: str) -> DataFrame:

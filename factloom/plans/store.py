@@ -266,7 +266,7 @@ pairs as (select a.rep as fact_a, b.rep as fact_b, a.subject_id, a.predicate fro
 
 @query(f"{_CLAIMS} select fact_a, fact_b, subject_id, predicate from pairs")
 def conflict_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return K.detect(table(spark, folder, "facts"), single_valued(spark, folder)).select("fact_a", "fact_b", "subject_id", "predicate")
+    return K.detect_claims(table(spark, folder, "facts"), single_valued(spark, folder)).select("fact_a", "fact_b", "subject_id", "predicate")
 
 
 @query(f"""{_CLAIMS}, v as (select * from k where object_key is not null and (s is null or e is null or e > s))
@@ -276,10 +276,10 @@ def rival_counts(spark: SparkSession, folder: str) -> DataFrame:
     return K.rival_counts(table(spark, folder, "facts"), single_valued(spark, folder)).drop("members")
 
 
-def _judged(spark: SparkSession, folder: str, policy: str) -> DataFrame:
+def _judged(spark: SparkSession, folder: str, policy: str, detect: Callable[[DataFrame, DataFrame], DataFrame] = K.detect_claims) -> DataFrame:
     facts = table(spark, folder, "facts")
     measured = K.scores(facts, table(spark, folder, "evidence"), table(spark, folder, "sources"))
-    return K.judged(K.detect(facts, single_valued(spark, folder)), measured, policy).select("fact_a", "fact_b", "winner")
+    return K.judged(detect(facts, single_valued(spark, folder)), measured, policy).select("fact_a", "fact_b", "winner")
 
 
 _SCORES = """, m as (select fact_id, max(confidence) as confidence from facts group by 1),
@@ -304,6 +304,49 @@ def winners_by_recency(spark: SparkSession, folder: str) -> DataFrame:
     return _judged(spark, folder, "most_recent_evidence")
 
 
+_FACTS = f"""
+with o as (select seq, fact_id, subject_id, predicate, object_key, {INSTANT.format(c="valid_from")} as s, {INSTANT.format(c="valid_to")} as e from facts
+  where status = 'active' and subject_id is not null and fact_id is not null and predicate in (select name from predicates where cardinality = 'one')
+  qualify row_number() over (partition by fact_id order by seq) = 1),
+pairs as (select a.fact_id as fact_a, b.fact_id as fact_b, a.subject_id, a.predicate from o a join o b
+  on a.subject_id = b.subject_id and a.predicate = b.predicate and (a.seq < b.seq or a.seq = b.seq and a.fact_id < b.fact_id) and a.object_key <> b.object_key
+  and (a.e is null or b.s is null or a.e > b.s) and (b.e is null or a.s is null or b.e > a.s))
+"""
+
+
+@query(f"{_FACTS} select fact_id, arg_min(fact_id, seq) over (partition by subject_id, predicate, object_key, s, e) as rep from o")
+def claim_members(spark: SparkSession, folder: str) -> DataFrame:
+    facts = table(spark, folder, "facts").where("status = 'active'").join(single_valued(spark, folder), "predicate", "left_semi")
+    return K.members_of(facts).select("fact_id", "rep")
+
+
+@query(f"{_FACTS} select fact_a, fact_b, subject_id, predicate from pairs")
+def fact_conflict_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return K.detect(table(spark, folder, "facts"), single_valued(spark, folder)).select("fact_a", "fact_b", "subject_id", "predicate")
+
+
+@query(f"""{_FACTS}, v as (select * from o where object_key is not null and (s is null or e is null or e > s))
+select a.fact_id, a.subject_id, a.predicate, a.object_key, (select count(*) from v b where a.subject_id = b.subject_id and a.predicate = b.predicate and a.object_key <> b.object_key
+  and (a.e is null or b.s is null or a.e > b.s) and (b.e is null or a.s is null or b.e > a.s)) as n_rivals from v a""")
+def fact_rival_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return K.fact_rival_counts(table(spark, folder, "facts"), single_valued(spark, folder))
+
+
+@query(_FACTS + _SCORES.format(c="confidence"))
+def fact_winners_by_confidence(spark: SparkSession, folder: str) -> DataFrame:
+    return _judged(spark, folder, "highest_confidence", K.detect)
+
+
+@query(_FACTS + _SCORES.format(c="authority"))
+def fact_winners_by_authority(spark: SparkSession, folder: str) -> DataFrame:
+    return _judged(spark, folder, "highest_authority", K.detect)
+
+
+@query(_FACTS + _SCORES.format(c="latest"))
+def fact_winners_by_recency(spark: SparkSession, folder: str) -> DataFrame:
+    return _judged(spark, folder, "most_recent_evidence", K.detect)
+
+
 @query()
 def settled_by_arrival(spark: SparkSession, folder: str) -> DataFrame:
     facts = table(spark, folder, "facts")

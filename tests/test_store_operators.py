@@ -191,6 +191,21 @@ def test_conflict_and_policies(spark, kitchen):
     assert K.detect(ends, single(spark)).count() == 0
 
 
+def test_facts_of_one_claim_are_rivals_each_and_judged_by_their_own_scores(spark):
+    def fact(seq, fact_id, obj, confidence, start=None, end=None, qualifiers="{}"):
+        return (seq, fact_id, "person:franklin", "BORN_IN", obj, None, start, end, qualifiers, confidence, "active", None, None)
+
+    rows = [fact(1, "a1", "ref:x", 0.3), fact(2, "b", "ref:y", 0.5), fact(3, "a2", "ref:x", 0.9, qualifiers='{"role": 1}'), fact(4, "a1", "ref:x", 0.2), fact(5, "c", "ref:y", 0.9, "1700", "1600"), fact(6, "d", None, 0.9)]
+    facts = spark.createDataFrame(rows, FACTS).repartition(3)
+    measured = facts.groupBy("fact_id").agg(F.max("confidence").alias("confidence"))
+    pairs = K.judged(K.detect(facts, single(spark)), measured, "highest_confidence")
+    got = {(r["fact_a"], r["fact_b"], r["winner"]) for r in pairs.where("fact_b <> 'c'").collect()}
+    assert got == {("a1", "b", "b"), ("b", "a2", "a2")}
+    counted = {r["fact_id"]: r["n_rivals"] for r in K.fact_rival_counts(facts, single(spark)).collect()}
+    assert counted == {"a1": 1, "a2": 1, "b": 2}
+    assert {r["fact_id"]: r["rep"] for r in K.members_of(facts).collect()} == {"a1": "a1", "a2": "a1", "b": "b", "c": "c", "d": "d"}
+
+
 def arrive(rows, policy):
     """Facts one by one, as lists."""
     active, out = {}, []
