@@ -109,7 +109,7 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
     # refining splits a pair whose slip lies in the far letters; such a pair shares nearly the whole core
     common = F.col("members") > COMMON
     discarded = again.where(common).select("node", "core").unionByName(first.where(common & F.col("nearly_whole")).select("node", "core"))
-    short = nodes.select("node", F.explode("cores").alias("core")).where(F.length("core") < 2 * SHORTEST)
+    short = nodes.select("node", F.explode("cores").alias("core")).where(F.length("core") <= 2 * SHORTEST)  # at 2 * SHORTEST a swap in the middle leaves SHORTEST - 1 letters at either end
     return within.unionByName(_by_deletion(nodes, discarded.unionByName(short).distinct())).distinct()
 
 

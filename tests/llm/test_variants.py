@@ -44,6 +44,13 @@ def test_what_is_left_open_is_not_guessed(spark):
     assert {tuple(r) for r in V.pairs_of(V.variants(spark.createDataFrame(rows, SCHEMA))).collect()} == {("d", "e")}
 
 
+def test_a_swap_in_the_middle_of_eight_letters_is_met(spark):
+    rows = [(1, "a", "Anthony Brumikat", "Person", None, False), (2, "b", "Anthony Bruimkat", "Person", None, False), (3, "c", "Anthony Brumskot", "Person", None, False)]
+    a, b, c = (N.record("Person", label, None) for _, _, label, *_ in rows)
+    assert len(N.skeleton(a.cores[0])) == 8 and N.agree(a, b) and not N.agree(a, c)
+    assert {tuple(r) for r in V.pairs_of(V.variants(spark.createDataFrame(rows, SCHEMA))).collect()} == {("a", "b")}
+
+
 def typed(rng, word):
     i = rng.randrange(1, len(word) - 1)
     return rng.choice([word[:i] + word[i + 1 :], word[:i] + rng.choice("aeotk") + word[i:], word[:i] + word[i + 1] + word[i] + word[i + 2 :], word[:i] + "u" + word[i + 1 :]])
