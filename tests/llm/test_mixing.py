@@ -34,9 +34,17 @@ def test_shares_caps_and_shards(spark, corpus, part, monkeypatch):
     caps = {(m, s): c for m, s, _, c in TARGETS}
     assert all(r["repetition"] <= caps[r["mix_name"], r["source"]] for r in rows)
     got = {(r["mix_name"], r["source"]): r for r in mixing.composition(mixed).collect()}
-    for source, share in (("big", 0.5), ("mid", 0.3), ("tiny", 0.2)):
-        assert abs(got["m", source]["actual_share"] - share) < 0.002
-    assert got["m", "none"]["tokens"] == 0 and got["n", "tiny"]["tokens"] == 1_500 and got["m", "tiny"]["repeats"] == 8
+    # the small source gives all its cap allows and takes nothing from the others; each of them is at its quota
+    have = sum(t for _, s, t in corpus if s in ("big", "mid", "tiny") and t)
+    for source, share in (("big", 0.5), ("mid", 0.3)):
+        assert got["m", source]["quota"] == int(have * share + 0.5) and abs(got["m", source]["tokens"] - got["m", source]["quota"]) <= 2
+    assert got["m", "tiny"]["tokens"] == 4_000 and got["m", "tiny"]["repeats"] == 8
+    assert got["m", "none"]["tokens"] == 0 and got["n", "tiny"]["tokens"] == 500 and got["m", "none"]["records"] == 0
+    sums = {}
+    for r in rows:
+        sums[r["mix_name"], r["source"]] = sums.get((r["mix_name"], r["source"]), 0) + r["tokens"]
+    assert sums == {k: r["tokens"] for k, r in got.items() if r["tokens"]}
+    assert all(abs(r["actual_share"] - r["tokens"] / sum(t for (m, _), t in sums.items() if m == k[0])) < 1e-12 for k, r in got.items())
     per_shard = mixed.records.where("mix_name = 'm'").groupBy("shard").agg(F.sum("tokens").alias("t")).collect()
     assert len(per_shard) == mixing.SHARDS and max(r["t"] for r in per_shard) < 2 * min(r["t"] for r in per_shard)
     assert sorted(map(tuple, mixing.mix(sized.repartition(5), spark.createDataFrame(TARGETS, "mix_name string, source string, weight double, max_repeats long")).records.collect())) == sorted(map(tuple, rows))
@@ -49,6 +57,27 @@ def test_a_larger_total_reports_what_was_reached(spark, corpus):
     assert got["tiny"]["tokens"] == 4_000 and got["big"]["tokens"] == pytest.approx(15_000, abs=30)
 
 
+def test_a_long_document_at_the_cut_is_filled_up(spark):
+    rows = [(i, "few", t) for i, t in enumerate([900, 40, 800, 30, 20, 1_000, 10, 700])] + [(100, "other", 3_500)]
+    targets = spark.createDataFrame([("m", "few", 0.25, 1), ("m", "other", 0.75, 2)], "mix_name string, source string, weight double, max_repeats long")
+    for seed in range(3):
+        got = {r["source"]: r for r in mixing.composition(mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, tokens long"), targets, seed=seed)).collect()}
+        assert got["few"]["quota"] == 1_750 and abs(got["few"]["tokens"] - 1_750) <= 150 and got["other"]["repeats"] in (1, 2)
+
+
+def test_a_permutation_takes_every_number_once():
+    for n in (1, 2, 3, 64, 1_000, 4_097):
+        at = mixing.permuted(np.arange(n), n, (3, 1 << 61, 77, 5))
+        assert sorted(at.tolist()) == list(range(n))
+    assert np.abs(np.diff(mixing.permuted(np.arange(4_096), 4_096, (3, 9, 77, 5)))).mean() > 1_000
+
+
+def test_more_targets_than_the_bound_are_an_error(spark, corpus, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_TARGETS", 3)
+    with pytest.raises(ValueError):
+        mixing.mix(spark.createDataFrame(corpus, "doc_id long, source string, tokens long"), spark.createDataFrame(TARGETS, "mix_name string, source string, weight double, max_repeats long"))
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, source string, tokens long")
     targets = spark.createDataFrame(TARGETS, "mix_name string, source string, weight double, max_repeats long")
