@@ -181,6 +181,25 @@ def pack(sized: DataFrame, bins: Sequence[tuple[str, int]], key: str = "doc_id",
     return Packing(assignment, containers)
 
 
+def too_long(packing: Packing, bins: Sequence[tuple[str, int]], key: str = "doc_id") -> DataFrame:
+    """bin_name and ``key``: for each kind of container the documents that a packing could not put whole into one of that kind.
+
+    Read off the places the packing gave: a document whose pieces lie in several
+    containers is too long for every kind; one whose container stayed of a larger
+    kind than the one in question, even after downsizing, may be, and its size
+    settles that.  Kinds of equal capacity each get their rows; documents
+    without tokens get none.
+    """
+    capacities = F.create_map(*[F.lit(x) for n, c in bins for x in (n, c)])
+    placed = packing.assignment.groupBy(key).agg(
+        F.min("container").alias("first"), F.max("container").alias("last"), F.max(capacities[F.col("bin_name")]).alias("room"), F.sum("size").alias("tokens"),
+    )
+    kinds = placed.select("*", F.explode(F.array(*[F.struct(F.lit(n).alias("bin_name"), F.lit(c).alias("capacity")) for n, c in bins])).alias("k"))
+    return kinds.where(
+        ((F.col("first") < F.col("last")) | (F.col("room") > F.col("k.capacity"))) & (F.col("tokens") > F.col("k.capacity"))
+    ).select("k.bin_name", key)
+
+
 def fill(packing: Packing) -> DataFrame:
     """Per kind of container: how many, their capacity and contents in tokens, and the share of room used."""
     return packing.containers.groupBy("bin_name").agg(

@@ -79,12 +79,8 @@ def _bins(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    sizes = cut(sized(table(spark, folder, "documents"), "doc_id"))
-    found = None
-    for name, capacity in _bins(spark, folder):
-        divided = packing.pack(sizes, [(name, capacity)]).assignment.where("n_pieces > 1 and piece = 0").select(F.lit(name).alias("bin_name"), "doc_id")
-        found = divided if found is None else found.unionByName(divided)
-    return found
+    sizes, bins = cut(sized(table(spark, folder, "documents"), "doc_id")), _bins(spark, folder)
+    return packing.too_long(packing.pack(sizes, bins), bins)
 
 
 def p6_assignment(spark: SparkSession, folder: str) -> DataFrame:

@@ -40,6 +40,17 @@ def test_every_document_is_placed_whole(spark, bins, monkeypatch):
     assert used == sum(t for _, t in rows)
 
 
+def test_too_long_documents_are_read_off_the_joint_packing(spark):
+    bins = [("s", 16), ("l", 64), ("also_s", 16)]
+    rng = random.Random(4)
+    rows = [(i, rng.choice([0, 1, 9, 15, 16, 17, 40, 63, 64, 65, 128, 200])) for i in range(500)] + [(900, None)]
+    done = packing.pack(spark.createDataFrame(rows, "doc_id long, tokens long").repartition(3), bins)
+    found = packing.too_long(done, bins)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "ArrowEvalPython" in plan  # ranks and places are computed for it
+    assert sorted(map(tuple, found.collect())) == sorted((n, d) for n, c in bins for d, t in rows if t and t > c)
+
+
 def test_plan_is_best_fit_for_runs():
     plan = packing.Plan({10: 1_000_003, 6: 500_000, 4: 700_000}, {16: 16})
     count = Counter()
