@@ -53,8 +53,7 @@ def _survivors(spark: SparkSession, folder: str, cardinality: str, temporal: str
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    found = _survivors(spark, folder, "one", "moment")
-    return found.best.where("basis <> 'model' and truth >= 0.5").select("subject_id", "predicate", "fact_id")
+    return survivors.picked(_survivors(spark, folder, "one", "moment"))
 
 
 def p4_golden(spark: SparkSession, folder: str) -> DataFrame:
