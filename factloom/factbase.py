@@ -6,6 +6,7 @@ Values are immutable: every change returns a new base.  ``save`` commits it to a
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from factloom.lineage import cut
 from factloom.operators import conflicts as K
 from factloom.operators import facts as A
+from factloom.operators import pipeline as P
 from factloom.operators.ontology import Ontology
 from factloom.sources.store import Store
 
@@ -80,16 +82,21 @@ class FactBase:
             self.facts.unionByName(fresh.select(*self.facts.columns)).join(weight, "fact_id", "left")
             .withColumn("confidence", F.coalesce("__c", "confidence")).select(*self.facts.columns)
         )
-        one = [p.name for p in self.ontology.predicates.values() if p.cardinality == "one"] if self.ontology else []
-        single = merged.sparkSession.createDataFrame([(n,) for n in one], "predicate string")
-        judged = cut(K.settle(merged, single, K.scores(merged, every, self.sources), self.policy, since=last))
-        lost = judged.where("kind = 'superseded'").select(F.col("fact_a").alias("fact_id")).distinct().withColumn("__lost", F.lit(True))
-        out = merged.join(lost, "fact_id", "left").withColumns(
-            {"superseded_at": F.when(F.col("__lost"), at.cast("timestamp")).otherwise(F.col("superseded_at")), "status": F.when(F.col("__lost"), "superseded").otherwise(F.col("status"))}
-        ).select(*self.facts.columns)
+        judged = cut(K.settle(merged, K.single_valued(merged.sparkSession, self.ontology), K.scores(merged, every, self.sources), self.policy, since=last))
+        out = K.retired(merged, judged, at)
         made = K.numbered(judged.where("kind = 'conflict'"), at, self.policy, existing=self.conflicts.count())
         return replace(self, facts=out, evidence=every, conflicts=self.conflicts.unionByName(made.select(*self.conflicts.columns)))
 
+    def ingest(self, documents: DataFrame, extractors: Sequence[P.Extractor], at: Column, create: bool = True, **validation) -> tuple[FactBase, DataFrame]:
+        """Documents (doc_id, text, source) through extraction, resolution, validation and this store's policy.
+
+        The new base holds the accepted claims as facts and the entities they
+        added; the other result is every claim with its findings and verdict.
+        """
+        done = P.judge(documents, extractors, self.sources, self.entities, self.ontology, at, create, **validation)
+        facts, evidence = A.facts_of(done.results, at)
+        return replace(self, entities=done.entities).add(facts, evidence, at), done.results
+
     def _later(self, evidence: DataFrame) -> DataFrame:
         """New evidence with positions after those that its fact has."""
         last = self.evidence.groupBy("fact_id").agg((F.max("position") + 1).alias("__from"))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.temporal import earliest_second, overlaps
 from factloom.lineage import cut
 from factloom.operators.intervals import overlap_counts
+from factloom.operators.ontology import Ontology
 from factloom.skew import skew_join
 
 POLICIES = ("keep_both", "highest_confidence", "highest_authority", "most_recent_evidence")
@@ -157,6 +158,20 @@ def judged(pairs: DataFrame, measured: DataFrame, policy: str | Callable[[], Col
     return out.withColumn("winner", winner).drop("score_a", "score_b")
 
 
+def single_valued(spark: SparkSession, ontology: Ontology | None) -> DataFrame:
+    """The predicates of an ontology that have one value at a time."""
+    return spark.createDataFrame([(p.name,) for p in ontology.predicates.values() if p.cardinality == "one"] if ontology else [], "predicate string")
+
+
+def retired(facts: DataFrame, settled: DataFrame, at: Column) -> DataFrame:
+    """``facts`` with those that lost (rows of kind superseded, of :func:`settle`) superseded at ``at``."""
+    lost = settled.where("kind = 'superseded'").select(F.col("fact_a").alias("fact_id")).distinct().withColumn("__lost", F.lit(True))
+    return facts.join(lost, "fact_id", "left").withColumns({
+        "superseded_at": F.when(F.col("__lost"), at.cast("timestamp")).otherwise(F.col("superseded_at")),
+        "status": F.when(F.col("__lost"), "superseded").otherwise(F.col("status")),
+    }).select(*facts.columns)
+
+
 _FOLDED = "kind string, subject_id string, predicate string, fact_a string, fact_b string, winner string, seq_a long, seq_b long"
 
 

@@ -1,4 +1,4 @@
-"""Text to claims: phrase patterns, and replies of a language model.
+"""Text to claims over tables of documents: phrase patterns, and replies of a language model.
 
 Spans of all matches cannot be had from SQL functions, so matching runs in
 Python over Arrow batches, one document at a time and without a shuffle.  A
@@ -8,439 +8,112 @@ JVM.
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Callable, Iterator, Mapping, Sequence
-from dataclasses import dataclass, field
-from datetime import date
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.names import predicate_text
 from factloom.functions.terms import TERM_DDL
-from factloom.operators.ontology import LITERALS, Ontology
+from factloom.operators.ontology import Ontology
+from factloom.operators.phrases import KINDS, Pattern, Template, iso_date, matches
+from factloom.operators.replies import Chunk, Reader, Skip, UnreadableReply, build_prompt, describe, parse_claims, split_text
 
-# What the kinds of placeholder match.
-CAPITALS = "A-ZÀ-ÖØ-Þ"
-QUOTES = "'’"
-JOINERS = "of the and de del della der du da la le van von y".split()
-NO_NAMES = (
-    "A An And As At But By For From He Her Hers Him His However I In Is It Its My Of On Or Our She So "
-    "That The Their Them Then There These They This Those To We When Where Which While Who You Your"
-).split()
-MONTHS = "january february march april may june july august september october november december".split()
-SHORT_MONTHS = {"sept": 9} | {m[:3]: i for i, m in enumerate(MONTHS, 1)}
+__all__ = [
+    "KINDS", "Chunk", "Pattern", "Reader", "Skip", "Template", "UnreadableReply", "bare_triples", "build_prompt", "describe", "extract", "extract_with_model",
+    "from_triples", "iso_date", "matches", "may_match", "parse_claims", "split_text",
+]
 
-_WORD = rf"(?:[{CAPITALS}]\.|[{CAPITALS}][\w{QUOTES}-]*)"
-_NAME = rf"(?!(?:{'|'.join(NO_NAMES)})\b(?!\.)){_WORD}(?:(?:\s+(?:{'|'.join(JOINERS)}))*\s+{_WORD})*"
-_MONTH = rf"(?i:{'|'.join([*MONTHS, *sorted(SHORT_MONTHS, key=len, reverse=True)])})\.?"
-_DAY = r"\d{1,2}(?:st|nd|rd|th)?"
-_DATE = rf"(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{4}}-\d{{2}}|{_MONTH}\s+{_DAY},?\s+\d{{4}}|{_DAY}\s+{_MONTH}\s+\d{{4}}|{_MONTH}\s+\d{{4}}|\d{{4}})"
+#: Columns of a claim; ``chunk_offset`` is where the piece of the text begins that it was read from, ``ordinal`` its place among the claims of that piece.
+CLAIM = {
+    "subject": TERM_DDL, "predicate": "STRING", "object": TERM_DDL, "valid_from": "STRING", "valid_to": "STRING", "qualifiers": f"MAP<STRING, {TERM_DDL}>",
+    "locator": "STRING", "quote": "STRING", "confidence": "DOUBLE", "extractor": "STRING", "chunk_offset": "INT", "ordinal": "INT", "error": "STRING",
+}
+REPORT = CLAIM | {"kind": "STRING", "reason": "STRING", "response": "STRING"}
 
-
-def iso_date(text: str) -> str:
-    """``January 17, 1706`` as ``1706-01-17``, at the precision stated; ISO text as it is."""
-    text = text.strip()
-    if re.fullmatch(r"\d{4}(?:-\d{2}){0,2}", text):
-        return text
-    year = month = day = None
-    for part in re.findall(r"[A-Za-z]+|\d+", text):
-        if part.isdigit():
-            year, day = (part, day) if len(part) == 4 else (year, int(part))
-        elif part.lower() in MONTHS:
-            month = MONTHS.index(part.lower()) + 1
-        else:
-            month = SHORT_MONTHS.get(part.lower(), month)
-    if year is None or month is None:
-        raise ValueError(f"no date: {text!r}")
-    return f"{year}-{month:02d}" + ("" if day is None else f"-{day:02d}")
-
-
-KINDS: dict[str, tuple[str, Callable[[str], Any] | None]] = {
-    "name": (_NAME, None),
-    "date": (_DATE, iso_date),
-    "year": (r"\d{4}", None),
-    "int": (r"-?\d[\d,]*", lambda s: int(s.replace(",", ""))),
-    "number": (r"-?\d[\d,]*(?:\.\d+)?", lambda s: float(s.replace(",", ""))),
-    "word": (rf"[\w{QUOTES}-]+", None),
-    "text": (r"[^.;:!?\n]+", None),
-}
-_KIND_OF = {"subject": "name", "object": "name", "valid_from": "date", "valid_to": "date"}
-_HOLE = re.compile(r"\{(\w+)(?::(\w+))?\}")
-
-
-def _literal_regex(text: str) -> str:
-    """Words in any case with any white space between them, and at the ends where the text has some."""
-    words = text.split()
-    if not words:
-        return r"\s+" if text else ""
-    inner = r"\s+".join(map(re.escape, words))
-    return (r"\s+" if text[0].isspace() else "") + f"(?i:{inner})" + (r"\s+" if text[-1].isspace() else "")
-
-
-def compile_template(template: str) -> tuple[str, dict[str, Callable[[str], Any]], list[str]]:
-    """Regular expression, converters and fixed words of a template such as ``{subject} was born in {object}``."""
-    out, converters, words, at = [], {}, [], 0
-    names: list[str] = []
-    for hole in _HOLE.finditer(template):
-        fixed = template[at : hole.start()]
-        out.append(_literal_regex(fixed))
-        words += fixed.split()
-        at = hole.end()
-        name = hole[1]
-        kind = hole[2] or _KIND_OF.get(name, "text")
-        if name in names:
-            raise ValueError(f"{{{name}}} stands twice in {template!r}")
-        if kind not in KINDS:
-            raise ValueError(f"no kind {kind!r}; there are {sorted(KINDS)}")
-        names.append(name)
-        pattern, convert = KINDS[kind]
-        out.append(f"(?P<{name}>{pattern})")
-        if convert:
-            converters[name] = convert
-    out.append(_literal_regex(template[at:]))
-    words += template[at:].split()
-    if not {"subject", "object"} <= set(names):
-        raise ValueError(f"{template!r} needs {{subject}} and {{object}}")
-    return rf"(?<![\w']){''.join(out)}(?![\w'])", converters, words
-
-
-@dataclass(frozen=True)
-class Pattern:
-    """A phrasing of a claim: a template, or with ``regex`` an expression with groups subject and object."""
-
-    predicate: str
-    template: str
-    subject_type: str | None = None
-    object_type: str | None = None
-    confidence: float | None = 0.7
-    regex: bool = False
-    convert: Mapping[str, Callable[[str], Any]] = field(default_factory=dict)
-
-    def __post_init__(self) -> None:
-        if not self.predicate:
-            raise ValueError("a pattern needs a predicate")
-        if self.confidence is not None and not 0 <= self.confidence <= 1:
-            raise ValueError("confidence must lie within 0 and 1")
-        self.compiled()
-
-    def compiled(self) -> tuple[re.Pattern, dict[str, Callable[[str], Any]], list[str]]:
-        if not self.regex:
-            source, converters, words = compile_template(self.template)
-            return re.compile(source), converters | dict(self.convert), words
-        expression = re.compile(self.template)
-        if not {"subject", "object"} <= set(expression.groupindex):
-            raise ValueError("a regular expression needs groups subject and object")
-        return expression, dict(self.convert), []
-
-
-def _value(value: Any, hint: str | None = None) -> dict | None:
-    """A term as a dictionary; text with a hint is a mention."""
-    if value is None:
-        return None
-    if isinstance(value, str):
-        return {"kind": "mention" if hint else "string", "text": value, "hint": hint}
-    if isinstance(value, bool):
-        return {"kind": "boolean", "text": "true" if value else "false", "hint": None}
-    if isinstance(value, int):
-        return {"kind": "integer", "text": str(value), "hint": None}
-    if isinstance(value, float):
-        return {"kind": "number", "text": repr(value), "hint": None}
-    if isinstance(value, date):
-        return {"kind": "time", "text": value.isoformat(), "hint": None}
-    return {"kind": "json", "text": json.dumps(value, sort_keys=True), "hint": None}
-
-
-def matches(text: str, patterns: Sequence[Pattern]) -> list[dict]:
-    """The claims that the patterns find in a text, by place.
-
-    A match that overlaps one of an earlier pattern for the same predicate, or
-    an earlier one of the same pattern, is dropped; list specific patterns
-    first.  A value that cannot be converted makes a claim with an error.
-    """
-    found, taken = [], {}
-    for order, pattern in enumerate(patterns):
-        expression, converters, _ = pattern.compiled()
-        spans = taken.setdefault(pattern.predicate, [])
-        for m in expression.finditer(text):
-            start, end = m.span()
-            if any(start < e and s < end for s, e in spans):
-                continue
-            spans.append((start, end))
-            values, error = {}, None
-            for name, raw in m.groupdict().items():
-                if raw is None:
-                    continue
-                try:
-                    values[name] = converters[name](raw.strip()) if name in converters else raw.strip()
-                except (ValueError, TypeError) as e:
-                    error = str(e)
-            subject, object_ = values.pop("subject", None), values.pop("object", None)
-            found.append((start, order, {
-                "subject": _value(subject, pattern.subject_type), "predicate": pattern.predicate,
-                "object": _value(object_, pattern.object_type if isinstance(object_, str) else None),
-                "valid_from": values.pop("valid_from", None), "valid_to": values.pop("valid_to", None),
-                "qualifiers": {k: _value(v) for k, v in values.items()},
-                "locator": f"chars {start}-{end}", "quote": m.group(0), "confidence": pattern.confidence, "error": error,
-            }))
-    return [claim for _, _, claim in sorted(found, key=lambda f: f[:2])]
-
-
-CLAIM_DDL = (
-    f"subject {TERM_DDL}, predicate STRING, object {TERM_DDL}, valid_from STRING, valid_to STRING, qualifiers MAP<STRING, {TERM_DDL}>, "
-    "locator STRING, quote STRING, confidence DOUBLE, extractor STRING, ordinal INT, error STRING"
-)
+# Letters that match an ASCII letter where case plays no part, beside its two cases.
+UNUSUAL_CASES = {"\u017f": "s", "\u212a": "k", "\u0131": "i", "\u0130": "i"}
 
 
 def may_match(text: Column, patterns: Sequence[Pattern]) -> Column:
-    """A condition that every document with a match meets: all fixed words of some pattern occur in it."""
-    folded, any_of = F.lower(text), F.lit(False)
+    """A condition that every document with a match meets: all fixed words of some pattern occur in it, in any case."""
+    folded, any_of = F.lower(F.translate(text, "".join(UNUSUAL_CASES), "".join(UNUSUAL_CASES.values()))), F.lit(False)
     for p in patterns:
-        words = [w for w in p.compiled()[2] if w.isascii()]
         all_of = F.lit(True)
-        for w in words:
-            all_of = all_of & folded.contains(w.lower())
+        for w in p.words():
+            if w.isascii():
+                all_of = all_of & folded.contains(w.lower())
         any_of = any_of | all_of
     return any_of
 
 
-def extract(documents: DataFrame, patterns: Sequence[Pattern], key: str = "doc_id", text: str = "text", name: str = "pattern") -> DataFrame:
-    """Claims that the patterns find in each document: ``key`` and the columns of a claim.
+def _by_document(documents: DataFrame, key: str, text: str, columns: dict[str, str], rows_of: Callable[[str], Iterator[dict]], condition: Column | None = None) -> DataFrame:
+    """The rows that ``rows_of`` makes of each text that is not null, with the key of its document."""
 
-    Whole texts are read.  Null and empty texts have no claims.  A claim whose
-    value cannot be read (an impossible date) comes out with ``error``.
-    """
-    patterns = list(patterns)
-    key_type = documents.schema[key].dataType.simpleString()
+    blank = dict.fromkeys(columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [
-                {"key": k, **claim, "extractor": name, "ordinal": i}
-                for k, t in zip(batch["key"], batch["text"], strict=True)
-                for i, claim in enumerate(matches(t, patterns))
-            ]
-            yield pd.DataFrame(rows, columns=["key", *_columns()])
-
-    read = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null").where(may_match(F.col("text"), patterns))
-    return read.mapInPandas(run, f"key {key_type}, {CLAIM_DDL}").withColumnRenamed("key", key)
-
-
-def _columns() -> list[str]:
-    return ["subject", "predicate", "object", "valid_from", "valid_to", "qualifiers", "locator", "quote", "confidence", "extractor", "ordinal", "error"]
+            rows = [blank | {"__key": k} | row for k, t in zip(batch["__key"], batch["__text"], strict=True) for row in rows_of(t)]
+            if rows:
+                yield pd.DataFrame(rows, columns=["__key", *columns]).astype({"ordinal": "Int32", "chunk_offset": "Int32"})
 
+    read = documents.select(F.col(key).alias("__key"), F.col(text).alias("__text")).where("__text is not null")
+    if condition is not None:
+        read = read.where(condition)
+    ddl = ", ".join(f"{name} {kind}" for name, kind in {"__key": documents.schema[key].dataType.simpleString(), **columns}.items())
+    return read.mapInPandas(run, ddl).withColumnRenamed("__key", key)
 
-def split_text(text: str, max_chars: int) -> list[tuple[int, str]]:
-    """(offset, chunk) pieces of at most ``max_chars``: cut after the last paragraph, else sentence, else blank, else hard; blank pieces dropped."""
-    if max_chars < 1:
-        raise ValueError("max_chars must be positive")
-    out, at = [], 0
-    while at < len(text):
-        end = min(at + max_chars, len(text))
-        if end < len(text):
-            for boundary in (r"\n\s*\n", r"[.!?]\s", r"\s"):
-                last = None
-                for last in re.finditer(boundary, text[at:end]):
-                    pass
-                if last:
-                    end = at + last.end()
-                    break
-        if text[at:end].strip():
-            out.append((at, text[at:end]))
-        at = end
-    return out
-
-
-class UnreadableReply(ValueError):
-    """A reply in which no claims can be found."""
-
-    def __init__(self, response: str) -> None:
-        super().__init__("no JSON claims in the reply")
-        self.response = response
-
-
-def parse_claims(response: str) -> list:
-    """The claims of a reply: fenced blocks first, then the whole text; the first JSON list, ``claims`` list or single claim."""
-    fenced = re.findall(r"```(?:json)?\s*(.*?)```", response, re.DOTALL)
-    decoder = json.JSONDecoder()
-    for part in [*fenced, response]:
-        for opening in re.finditer(r"[\[{]", part):
-            try:
-                value, _ = decoder.raw_decode(part, opening.start())
-            except ValueError:
-                continue
-            if isinstance(value, list):
-                return value
-            if isinstance(value.get("claims"), list):
-                return value["claims"]
-            if "subject" in value:
-                return [value]
-    raise UnreadableReply(response)
-
-
-def find_quote(quote: str, text: str) -> tuple[int, int] | None:
-    """Where a quote first stands in a text, whatever its case and white space."""
-    words = quote.split()
-    m = re.search(r"\s+".join(map(re.escape, words)), text, re.IGNORECASE) if words else None
-    return m.span() if m else None
-
-
-class Skip(Exception):
-    """Why a model's claim is dropped."""
-
-
-def _object_value(value: Any, wanted: str | None) -> dict:
-    if not isinstance(value, str):
-        return _value(value)
-    value = value.strip()
-    if wanted in ("integer", "number"):
-        try:
-            return _value((int if wanted == "integer" else float)(value.replace(",", "")))
-        except ValueError:
-            raise Skip(f"object {value!r} is not {'an integer' if wanted == 'integer' else 'a number'}") from None
-    if wanted == "boolean":
-        truth = {"true": True, "yes": True, "false": False, "no": False}.get(value.lower())
-        if truth is None:
-            raise Skip(f"object {value!r} is not true or false")
-        return _value(truth)
-    return _value(value, None if wanted is None or wanted in LITERALS else wanted)
-
-
-def claim_of(item: Any, chunk: str, offset: int, ontology: Ontology | None, confidence: float | None, require_quote: bool) -> dict:
-    """One claim of a reply, checked; raises :class:`Skip` with the reason."""
-    if not isinstance(item, dict):
-        raise Skip("claim is not a JSON object")
-    subject, raw_predicate, value = item.get("subject"), item.get("predicate"), item.get("object")
-    if not isinstance(subject, str) or not subject.strip():
-        raise Skip("missing subject")
-    predicate = predicate_text(raw_predicate) if isinstance(raw_predicate, str) else ""
-    if not predicate:
-        raise Skip("missing predicate")
-    if value is None or isinstance(value, str) and not value.strip():
-        raise Skip("missing object")
-    if isinstance(value, (list, dict)):
-        raise Skip("object must be a single value")
-    hint = item.get("subject_type")
-    wanted = item.get("object_type")
-    if not isinstance(wanted, str) or not wanted:
-        defined = ontology.predicate(predicate) if ontology else None
-        wanted = defined.range if defined else None
-    object_ = _object_value(value, wanted)
-    quote = item.get("quote")
-    span = find_quote(quote, chunk) if isinstance(quote, str) else None
-    if span is None and require_quote:
-        raise Skip("quote not found in the text" if quote else "missing quote")
-    given = item.get("confidence")
-    usable = isinstance(given, (int, float)) and not isinstance(given, bool) and 0 <= given <= 1
-    qualifiers = item.get("qualifiers") or {}
-    if not isinstance(qualifiers, dict):
-        raise Skip("qualifiers must be a JSON object")
-    times = {}
-    for name in ("valid_from", "valid_to"):
-        raw = item.get(name) or None
-        if isinstance(raw, bool) or raw is not None and not isinstance(raw, (str, int)):
-            raise Skip(f"invalid claim: {name} is no time")
-        times[name] = f"{raw:04d}" if isinstance(raw, int) else raw
-        if times[name] is not None and not _is_time(times[name]):
-            raise Skip(f"invalid claim: unrecognized time {raw!r}")
-    return {
-        "subject": _value(subject.strip(), hint if isinstance(hint, str) and hint else None), "predicate": predicate, "object": object_, **times,
-        "qualifiers": {str(k): _value(v) for k, v in qualifiers.items()},
-        "locator": f"chars {offset + span[0]}-{offset + span[1]}" if span else None, "quote": chunk[span[0] : span[1]] if span else None,
-        "confidence": float(given) if usable else confidence, "error": None,
-    }
-
-
-def _is_time(text: str) -> bool:
-    m = re.fullmatch(r"\s*(\d{4})(?:-(\d{2})(?:-(\d{2})(?:T\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?(?:[Zz]|[+-]\d{2}:\d{2})?)?)?)?\s*", text)
-    if not m:
-        return False
-    try:
-        date(int(m[1]), int(m[2] or 1), int(m[3] or 1))
-    except ValueError:
-        return False
-    return True
-
-
-_PROMPT = """Read the text and list the factual claims it states, as JSON: {{"claims": [...]}}.
-Each claim is an object with
-  subject, subject_type{types}
-  predicate{predicates}
-  object, object_type (an entity type or one of {literals})
-  valid_from, valid_to (YYYY, YYYY-MM or YYYY-MM-DD, or null)
-  qualifiers (an object, may be empty)
-  quote (copied from the text, word for word)
-  confidence (0 to 1)
-State nothing that the text does not. Write names in place of pronouns. Without claims, answer {{"claims": []}}.
-{ontology}{instructions}
-Text:
-{text}
-"""
 
+def extract(documents: DataFrame, patterns: Sequence[Pattern], key: str = "doc_id", text: str = "text", name: str = "pattern") -> DataFrame:
+    """Claims that the patterns find in each document: ``key`` and the columns of a claim.
 
-def describe(ontology: Ontology) -> str:
-    """The ontology as lines of a prompt."""
-    lines = ["Entity types:"]
-    for t in ontology.types.values():
-        lines.append(f"- {t.name}" + (f" (a kind of {t.parent})" if t.parent else "") + (f": {t.description}" if t.description else ""))
-    lines.append("Predicates:")
-    for p in ontology.predicates.values():
-        notes = ["one value at a time"] * (p.cardinality == "one") + ["a moment, valid_from only"] * (p.temporal == "moment") + [p.description] * bool(p.description)
-        lines.append(f"- {p.name}: {' or '.join(p.domain) or 'anything'} -> {p.range or 'anything'}" + "".join(f"; {n}" for n in notes))
-    return "\n".join(lines)
+    Whole texts are read.  Null and empty texts have no claims.  A claim whose
+    value cannot be read (an impossible date) comes out with ``error``.
+    """
+    patterns = list(patterns)
 
+    def claims(t: str) -> Iterator[dict]:
+        for i, claim in enumerate(matches(t, patterns)):
+            yield claim | {"extractor": name, "chunk_offset": 0, "ordinal": i}
 
-def build_prompt(text: str, ontology: Ontology | None = None, instructions: str = "") -> str:
-    listed = ontology is not None and bool(ontology.predicates)
-    return _PROMPT.format(
-        types=" (one of those below)" if listed and ontology.types else " (or null)",
-        predicates=" (one of those below)" if listed else " (in UPPER_SNAKE_CASE)",
-        literals=", ".join(LITERALS), ontology=f"\n{describe(ontology)}\n" if listed else "",
-        instructions=f"\n{instructions.strip()}\n" if instructions.strip() else "", text=text,
-    )
+    return _by_document(documents, key, text, CLAIM, claims, may_match(F.col("__text"), patterns))
 
 
 def extract_with_model(
     documents: DataFrame, complete: Callable[[str], str], ontology: Ontology | None = None, instructions: str = "", confidence: float | None = 0.6,
-    require_quote: bool = True, max_chars: int = 12_000, key: str = "doc_id", text: str = "text", name: str = "llm",
+    require_quote: bool = True, max_chars: int | None = 12_000, key: str = "doc_id", text: str = "text", name: str = "llm",
 ) -> DataFrame:
-    """Claims from a model's replies, chunk by chunk: ``key``, chunk_offset, kind, the columns of a claim, reason, response.
+    """Claims from a model's replies, chunk by chunk (``max_chars`` None: whole texts): ``key``, the columns of a claim, kind, reason, response.
 
-    Rows of kind ``claim`` have a claim, of kind ``skipped`` the reason why one
-    was dropped, of kind ``response`` the raw reply; an unreadable reply is a
-    skip of its own and costs no other chunk.  ``complete`` should answer a
-    repeated prompt alike, for lost tasks run again.
+    Rows of kind ``claim`` have a claim, of kind ``skipped`` the code of the
+    reason why one was dropped, of kind ``response`` the raw reply; an unreadable
+    reply is a skip of its own and costs no other chunk.  ``complete`` should
+    answer a repeated prompt alike, for lost tasks run again.
     """
-    key_type = documents.schema[key].dataType.simpleString()
-    blank = dict.fromkeys(_columns())
 
-    def of_chunk(k: Any, offset: int, chunk: str) -> Iterator[dict]:
-        response = complete(build_prompt(chunk, ontology, instructions))
-        base = {"key": k, "chunk_offset": offset, **blank, "reason": None, "response": None, "extractor": name}
-        yield base | {"kind": "response", "response": response}
+    def of_chunk(chunk: Chunk) -> Iterator[dict]:
+        response = complete(build_prompt(chunk.text, ontology, instructions))
+        yield {"kind": "response", "response": response}
+        reader = Reader(chunk, ontology, confidence, require_quote)
         try:
             items = parse_claims(response)
         except UnreadableReply as e:
-            yield base | {"kind": "skipped", "reason": str(e)}
+            yield {"kind": "skipped", "reason": str(e)}
             return
         for i, item in enumerate(items):
             try:
-                yield base | claim_of(item, chunk, offset, ontology, confidence, require_quote) | {"kind": "claim", "ordinal": i}
+                yield reader.read(item) | {"kind": "claim", "ordinal": i}
             except Skip as why:
-                yield base | {"kind": "skipped", "reason": str(why), "ordinal": i}
+                yield {"kind": "skipped", "reason": str(why), "ordinal": i}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k, t in zip(batch["key"], batch["text"], strict=True):
-                rows = [row for offset, chunk in split_text(t, max_chars) for row in of_chunk(k, offset, chunk)]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["key", "chunk_offset", "kind", *_columns(), "reason", "response"]).astype({"ordinal": "Int32"})
+    def rows_of(t: str) -> Iterator[dict]:
+        for offset, piece in split_text(t, max_chars):
+            for row in of_chunk(Chunk(piece, offset)):
+                yield row | {"extractor": name, "chunk_offset": offset}
 
-    read = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")
-    return read.mapInPandas(run, f"key {key_type}, chunk_offset INT, kind STRING, {CLAIM_DDL}, reason STRING, response STRING").withColumnRenamed("key", key)
+    return _by_document(documents, key, text, REPORT, rows_of)
 
 
 def bare_triples(claims: DataFrame) -> DataFrame:

@@ -107,7 +107,10 @@ def first_seen_sources(facts: DataFrame, evidence: DataFrame, sources: DataFrame
 
 
 def facts_of(accepted: DataFrame, recorded_at: Column) -> tuple[DataFrame, DataFrame]:
-    """Facts and evidence tables of accepted claims (as :func:`validate` returns them), in the form of the store."""
+    """Facts and evidence tables of accepted claims (as :func:`validate` returns them, each with its own seq), in the form of the store.
+
+    Positions of evidence rise with seq, but not by one.
+    """
     kept = accepted.where("status = 'accepted'")
     facts = kept.select(
         "seq", "fact_id", F.col("subject.text").alias("subject_id"), "predicate", key(F.col("object")).alias("object_key"),
@@ -115,9 +118,9 @@ def facts_of(accepted: DataFrame, recorded_at: Column) -> tuple[DataFrame, DataF
         qualifiers_json(F.col("qualifiers")).alias("qualifiers_json"), "confidence", F.lit("active").alias("status"),
         recorded_at.cast("timestamp").alias("recorded_at"), F.lit(None).cast("timestamp").alias("superseded_at"),
     )
-    evidence = kept.select("seq", "fact_id", F.posexplode("evidence").alias("position", "e")).select(
-        "fact_id", (F.col("seq") * 1000 + F.col("position")).alias("position"), "e.*"
-    )
+    # positions rise with seq and the place in the claim's evidence; sorted by range, so no fact is numbered in one task
+    pieces = kept.select("seq", "fact_id", F.posexplode("evidence").alias("position", "e")).orderBy("seq", "position")
+    evidence = pieces.select("fact_id", F.monotonically_increasing_id().alias("position"), "e.*")
     return facts, evidence.select("fact_id", "position", *[c for c in evidence.columns if c not in ("fact_id", "position")])
 
 

@@ -33,11 +33,9 @@ class Predicate:
     description: str = ""
 
     def __post_init__(self) -> None:
-        domain = (self.domain,) if isinstance(self.domain, str) else tuple(self.domain)
-        object.__setattr__(self, "domain", domain)
-        for value, allowed in ((self.cardinality, CARDINALITIES), (self.temporal, TEMPORALS)):
-            if value not in allowed:
-                raise ValueError(f"{value!r} is none of {allowed}")
+        object.__setattr__(self, "domain", tuple([self.domain] if isinstance(self.domain, str) else self.domain))  # one type may be given as text
+        if self.cardinality not in CARDINALITIES or self.temporal not in TEMPORALS:
+            raise ValueError(f"{self.name!r}: cardinality is one of {CARDINALITIES} and temporal one of {TEMPORALS}")
 
     @property
     def range_kind(self) -> str | None:
@@ -76,13 +74,9 @@ class Ontology:
         return self.predicates.get(name)
 
     def ancestors(self, name: str) -> tuple[str, ...]:
-        """The type itself and its parents up to the root."""
-        out = []
-        at: str | None = name
-        while at is not None:
-            out.append(at)
-            at = self.types[at].parent if at in self.types else None
-        return tuple(out)
+        """The type itself and its parents up to the root; an undefined type has none."""
+        known = self.types.get(name)
+        return (name,) if known is None or known.parent is None else (name, *self.ancestors(known.parent))
 
     def is_a(self, name: str, ancestor: str) -> bool:
         return ancestor in self.ancestors(name)

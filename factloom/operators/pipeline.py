@@ -29,42 +29,83 @@ class Ingested:
     conflicts: DataFrame
 
 
+#: What tells the claims of a run apart, and their order: document, extractor, piece of the text, place in it.
+PLACE = ["__document", "__extractor", "chunk_offset", "ordinal"]
+
+
+def numbered(claims: DataFrame, order: Sequence[str], name: str = "seq") -> DataFrame:
+    """Claims with a number that rises in ``order`` (which is unique), as a written table: sorted by range, not in one task."""
+    return cut(claims.orderBy(*order).withColumn(name, F.monotonically_increasing_id() + 1))
+
+
+def run_extractors(documents: DataFrame, extractors: Sequence[Extractor], key: str = "doc_id") -> DataFrame:
+    """The claims of all extractors with their place; what a model extractor reports beside claims is left out."""
+    found = None
+    for i, extractor in enumerate(extractors):
+        part = extractor(documents)
+        if "kind" in part.columns:
+            part = part.where("kind = 'claim'")
+        part = part.where("error is null").withColumn("__extractor", F.lit(i)).withColumn("__document", F.col(key))
+        if "chunk_offset" not in part.columns:
+            part = part.withColumn("chunk_offset", F.lit(0))
+        part = part.select(key, "subject", "predicate", "object", "valid_from", "valid_to", "qualifiers", "locator", "quote", "confidence", "extractor", *PLACE)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        raise ValueError("no extractor")
+    return found
+
+
 def with_evidence(claims: DataFrame, documents: DataFrame, sources: DataFrame, extracted_at: Column, key: str = "doc_id") -> DataFrame:
-    """Claims with seq (from the document and the place in it) and their evidence as an array of one."""
+    """Claims (of :func:`run_extractors`) with seq in the order of their places, and their evidence as an array of one."""
     origin = documents.select(key, F.col("source").alias("source_id"))
     trust = sources.where("id is not null").groupBy(F.col("id").alias("source_id")).agg(F.max("authority").alias("authority"))
     e = F.struct(
         "source_id", "locator", "quote", F.col("confidence").cast("double").alias("confidence"), "extractor", extracted_at.cast("timestamp").alias("extracted_at"),
         F.col("authority").cast("double").alias("authority"),
     )
-    return (
-        claims.where("error is null").join(origin, key).join(trust, "source_id", "left")
-        .withColumn("evidence", F.array(e)).withColumn("seq", F.col(key).cast("long") * 100_000 + F.col("ordinal"))
-        .select("seq", key, "subject", "predicate", "object", "evidence", "valid_from", "valid_to", "qualifiers")
-    )
+    joined = claims.join(origin, key).join(trust, "source_id", "left").withColumn("evidence", F.array(e))
+    return numbered(joined.select(key, "subject", "predicate", "object", "evidence", "valid_from", "valid_to", "qualifiers", *PLACE), PLACE).drop(*PLACE)
 
 
-def ingest(
+@dataclass(frozen=True)
+class Judged:
+    """results: every claim with its findings and verdict; entities: those known and those the claims added."""
+
+    results: DataFrame
+    entities: DataFrame
+
+
+def judge(
     documents: DataFrame, extractors: Sequence[Extractor], sources: DataFrame, entities: DataFrame, ontology: Ontology | None, run_at: Column, create: bool = True, **validation
-) -> Ingested:
-    """Run extractors over documents (doc_id, text, source) and carry the claims through to facts and conflicts.
+) -> Judged:
+    """Documents (doc_id, unique, of any type; text; source) to resolved and validated claims.
 
     ``entities``: seq, id, label, type, aliases (array), provisional.  Mentions that no
     entity bears become provisional entities.  Claims are resolved set at a
     time: all of a batch see the same entities and those the batch adds.
     """
-    found = None
-    for i, extractor in enumerate(extractors):
-        part = extractor(documents).withColumn("ordinal", F.col("ordinal") + i * 10_000)
-        found = part if found is None else found.unionByName(part)
-    claims = cut(with_evidence(found, documents, sources, run_at))
+    claims = with_evidence(run_extractors(documents, extractors), documents, sources, run_at)
     resolved, fresh = R.resolve_claims(claims, entities, ontology, create)
     known = cut(entities.select("seq", "id", "label", "type", "aliases", "provisional").unionByName(fresh))
-    results = cut(V.validate(resolved, ontology, known, **validation))
-    facts, evidence = A.facts_of(results, run_at)
+    return Judged(cut(V.validate(resolved, ontology, known, **validation)), known)
+
+
+def ingest(
+    documents: DataFrame, extractors: Sequence[Extractor], sources: DataFrame, entities: DataFrame, ontology: Ontology | None, run_at: Column, create: bool = True,
+    policy: str = "keep_both", **validation,
+) -> Ingested:
+    """:func:`judge`, and the accepted claims as facts with their conflicts, settled by ``policy``.
+
+    Nothing is written: :meth:`factloom.factbase.FactBase.ingest` carries
+    documents into a store.
+    """
+    done = judge(documents, extractors, sources, entities, ontology, run_at, create, **validation)
+    facts, evidence = A.facts_of(done.results, run_at)
     merged = A.merge_arrivals(facts).drop("confidence", "arrivals").join(A.combined_confidence(evidence, sources).select("fact_id", "confidence"), "fact_id", "left").select(*facts.columns)
     merged = cut(merged)
-    single = [p.name for p in ontology.predicates.values() if p.cardinality == "one"] if ontology else []
-    spark = documents.sparkSession
-    pairs = K.detect(merged, spark.createDataFrame([(n,) for n in single], "predicate string"))
-    return Ingested(results, merged, evidence, known, K.numbered(K.judged(pairs, merged.select("fact_id"), "keep_both"), run_at, "keep_both"))
+    single = K.single_valued(documents.sparkSession, ontology)
+    if policy == "keep_both":
+        pairs = K.judged(K.detect(merged, single), merged.select("fact_id"), policy)
+        return Ingested(done.results, merged, evidence, done.entities, K.numbered(pairs, run_at, policy))
+    settled = cut(K.settle(merged, single, K.scores(merged, evidence, sources), policy))
+    return Ingested(done.results, K.retired(merged, settled, run_at), evidence, done.entities, K.numbered(settled.where("kind = 'conflict'"), run_at, policy))

@@ -62,16 +62,15 @@ def extracted_claims(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _first_sentence(prompt: str) -> str:
-    """A stand-in for a language model: it claims that the first word pair of the text begins its first sentence."""
-    text = prompt.rpartition("Text:\n")[2].strip()
-    sentence = text.split(".")[0][:200]
-    words = sentence.split()
-    return "Here you are:\n```json\n" + json.dumps({"claims": [{"subject": " ".join(words[:2]), "predicate": "begins", "object": words[-1] if words else "", "quote": sentence}]}) + "\n```"
+def _every_sentence(prompt: str) -> str:
+    """A stand-in for a language model: of every sentence of the text it claims that its first two words begin what its last word ends."""
+    sentences = [s.strip() for s in prompt.rpartition("Text:\n")[2].split(".") if s.strip()]
+    claims = [{"subject": " ".join(s.split()[:2]), "predicate": "begins", "object": s.split()[-1], "quote": s} for s in sentences]
+    return "Here you are:\n```json\n" + json.dumps({"claims": claims}) + "\n```"
 
 
 def model_claims(spark: SparkSession, folder: str) -> DataFrame:
-    found = E.extract_with_model(table(spark, folder, "documents"), _first_sentence, max_chars=4000)
+    found = E.extract_with_model(table(spark, folder, "documents"), _every_sentence, max_chars=4000)
     return found.select("doc_id", "chunk_offset", "kind", F.col("subject.text").alias("subject"), "predicate", F.col("object.text").alias("object"), "locator", "confidence", "reason")
 
 
