@@ -4,6 +4,12 @@ A name is brought to the consistent form, folded (case, accents, script) and
 taken apart: its core (surname, or the coined word of a body or place) and what
 stands around it.  Two records are of one thing if their cores agree by
 longest common subsequence and the rest does not contradict.
+
+Which words are those of many names ("institute", "north", a given name) and
+which one names the thing itself is learnt from the table (:class:`Lexicon`): a
+word of many different names of its kind is common, and the core is what is
+not, or the rarest.  Fixed are only words of grammar, titles, abbreviations and
+a dictionary of English nicknames.
 """
 
 from __future__ import annotations
@@ -11,8 +17,9 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from dataclasses import dataclass
-from functools import lru_cache
+from collections.abc import Iterable, Mapping
+from dataclasses import dataclass, field
+from functools import cached_property, lru_cache
 
 from factloom.llm.normalform import normal_form
 
@@ -29,21 +36,13 @@ quentin: quin quinn; rebecca: beck becca becky; richard: dick rich rick ricky; r
 susannah: sue suke suky susan susie; theodora: dora thea theo; thomas: tom tommy; ursula: ulla ursie; victor: vic; victoria: vicky vic tori;
 wilhelmina: mina minnie wilma billie; william: bill billy will willie liam; zachary: zach zack zak
 """
-# Words around names.
+# Words around names, and common abbreviations of words for bodies and places.
 TITLES = frozenset("dr mr mrs ms miss prof professor rev reverend sir dame lady lord hon capt col st".split())
 GENERATIONS = {"jr": "jr", "jun": "jr", "junior": "jr", "sr": "sr", "sen": "sr", "senior": "sr", "ii": "ii", "iii": "iii", "iv": "iv"}
-PARTICLES = frozenset("van von de del della da di du la le ter ten den".split())
+PARTICLES = frozenset("van von de del della der da di du la le ter ten den".split())
 LINKS = frozenset("the of for and on by at in".split())
-RANKS = frozenset("old new royal first second third fourth national imperial great little upper lower north south east west saint grand free".split())
-BODIES = frozenset(
-    "academy agency archive association board brotherhood bureau centre club college committee company council department faculty foundation guild institute institution laboratory library limited museum office press school service society sons trust union university".split()
-)
-FIELDS = frozenset(
-    "art bee bell botany bridge canal cartography cave cereal chemistry choral clock conservation design ecology engineering folk founding geology glass grinding harbour history husbandry hydrology ice lens lighthouse marine mechanics medicine mining mosaic mountain music navigation optics paper peat printing river salt survey textile timber trade transport".split()
-)
 DROPPED = frozenset("limited".split())
 SHORT_BODIES = {"bros": "brotherhood", "dept": "department", "inst": "institute", "univ": "university", "pr": "press", "co": "company", "ltd": "limited", "lab": "laboratory", "labs": "laboratory", "soc": "society", "assoc": "association", "acad": "academy", "coll": "college", "mus": "museum"}
-PLACE_WORDS = frozenset("new north south east west upper lower lake mount fort port saint great little old bridge heath tarn fen".split())
 SHORT_PLACES = {"mt": "mount", "ft": "fort", "pt": "port", "st": "saint", "lk": "lake", "br": "bridge", "hth": "heath", "gt": "great", "lt": "little", "nth": "north", "sth": "south", "upr": "upper", "lwr": "lower"}
 PLACE_DROPPED = frozenset("city town village the of on by".split())
 # Fixed value: the letters of a common romanisation.
@@ -67,8 +66,11 @@ GIVEN = _nicknames()
 FORMAL = sorted({f for v in GIVEN.values() for f in v})
 
 
+@lru_cache(maxsize=1 << 16)
 def fold(text: str) -> str:
     """Lower case, without accents, in Latin letters, on top of the consistent form; case marks of initials are gone too."""
+    if text.isascii() and text.isprintable():
+        return text.lower()
     apart = unicodedata.normalize("NFD", normal_form(text).lower().replace("й", "j"))
     plain = "".join(c for c in apart if not unicodedata.combining(c))
     return plain if plain.isascii() else "".join(CYRILLIC.get(c, c) for c in plain)
@@ -111,21 +113,22 @@ def _within(short: str, word: str) -> bool:
     return all(c in rest for c in short)
 
 
-@lru_cache(maxsize=1 << 16)
-def formal_names(token: str) -> frozenset[str]:
-    """The given names a word may stand for; an initial as one letter; the word itself if it is near none (empty)."""
-    word = token.rstrip(".")
-    if len(word) == 1:
-        return frozenset(word)
-    if word in GIVEN:
-        return GIVEN[word] | (frozenset(f for f in FORMAL if _within(word, f)) if token.endswith(".") else frozenset())
-    if token.endswith(".") or len(word) <= 3:
-        if found := frozenset(f for f in FORMAL if _within(word, f)):
-            return found
-    sound = skeleton(word)
-    return frozenset(f for f in FORMAL if len(f) >= 5 and (close(word, f) or close(sound, skeleton(f)))) or frozenset(
-        f for f in FORMAL if len(word) >= 4 and len(word) <= 6 and f.startswith(word)
-    )
+def _shortened(word: str) -> set[str]:
+    """A word and what is left of it without one letter: words one slip apart have one of these in common."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
+class Near:
+    """Finds the words of a list that are one slip from a given one."""
+
+    def __init__(self, words: Iterable[str]) -> None:
+        self._by: dict[str, list[str]] = {}
+        for w in words:
+            for short in _shortened(w):
+                self._by.setdefault(short, []).append(w)
+
+    def find(self, word: str) -> set[str]:
+        return {w for short in _shortened(word) for w in self._by.get(short, ()) if close(word, w)}
 
 
 @dataclass(frozen=True)
@@ -146,129 +149,235 @@ class Form:
         return bool(self.core) and (self.kind != "person" or bool(self.given)) and (self.kind != "org" or bool(self.words or self.letters))
 
 
-def _person(text: str) -> Form | None:
+@dataclass(frozen=True)
+class Lexicon:
+    """The common words of the names of each kind, with the share of names that have them; empty where nothing is known."""
+
+    person: Mapping[str, float] = field(default_factory=dict)  # given names
+    org: Mapping[str, float] = field(default_factory=dict)
+    place: Mapping[str, float] = field(default_factory=dict)
+
+    @cached_property
+    def reader(self) -> Reader:
+        return Reader(self)
+
+    def __getstate__(self) -> dict:
+        return {"person": dict(self.person), "org": dict(self.org), "place": dict(self.place)}
+
+
+def _tokens(text: str) -> list[str]:
+    return re.findall(r"[a-z]+", fold(text))
+
+
+def _split_place(shown: str) -> tuple[str, str, str]:
+    """What stands before a colon or within brackets, the name, and what follows its last comma."""
+    region, name, tail = "", shown, ""
+    before, colon, after = name.partition(":")
+    if colon:
+        region, name = fold(before).strip(), after
+    head, comma, end = name.rpartition(",")
+    if comma:
+        name, tail = head, end
+    if (inner := re.search(r"\(([^)]*)\)", name)) is not None:
+        region, name = fold(inner[1]).strip(), name.replace(inner[0], " ")
+    return region, name, tail
+
+
+def words_in(kind: str, text: str) -> list[str]:
+    """The words of one name from which common words are learnt: given names of a person, whole words of the name of a body or place."""
     shown = normal_form(text)
-    head, _, tail = shown.partition(",")
-    if tail and all(t.rstrip(".").lower() in GENERATIONS for t in _TOKEN.findall(tail)):
-        head, tail = f"{head} {tail}", ""
-    generation, surname, given, particle = "", [], [], ""
-    for part, of_surname in ((head, bool(tail)), (tail, False)):
-        for raw in _TOKEN.findall(part.replace(".", ". ")):
+    if kind == "place":
+        return [w for w in _tokens(_split_place(shown)[1]) if len(w) > 1 and w not in PLACE_DROPPED and w not in SHORT_PLACES]
+    raws = [fold(r) for r in _TOKEN.findall(shown.replace(".", ". ") if kind == "person" else shown)]
+    if kind == "org":
+        return [w for w in raws if len(w) > 1 and w.isalpha() and w not in LINKS and w not in SHORT_BODIES] if len(raws) > 1 else []
+    head, comma, tail = shown.partition(",")
+    kept = lambda part: [
+        w for w in (fold(r) for r in _TOKEN.findall(part.replace(".", ". "))) if len(w) > 1 and w.isalpha() and w not in GENERATIONS and w not in TITLES and w not in PARTICLES
+    ]
+    return kept(tail) or kept(head)[:-1] if comma else kept(head)[:-1]
+
+
+class Reader:
+    """Takes names apart with the common words of a lexicon."""
+
+    def __init__(self, lexicon: Lexicon) -> None:
+        self.common = {"org": dict(lexicon.org), "place": dict(lexicon.place), "person": dict(lexicon.person)}
+        for short in (SHORT_BODIES, SHORT_PLACES):
+            kind = "org" if short is SHORT_BODIES else "place"
+            for w in short.values():
+                self.common[kind].setdefault(w, 0.0)
+        self._near = {k: Near(w for w in self.common[k] if len(w) >= least) for k, least in (("org", 5), ("place", 4))}
+        self.formal = sorted({*FORMAL, *(w for w in lexicon.person if w not in GIVEN)})
+        long = [f for f in self.formal if len(f) >= 5]
+        self._near_given, self._sounds = Near(long), Near(skeleton(f) for f in long)
+        self._of_sound: dict[str, list[str]] = {}
+        for f in long:
+            self._of_sound.setdefault(skeleton(f), []).append(f)
+        self._words: dict[tuple[str, str], str] = {}
+        self._formal: dict[str, frozenset[str]] = {}
+
+    def word(self, kind: str, token: str) -> str:
+        """The common word of a kind that a token stands for, one slip allowed, else nothing."""
+        key = (kind, token)
+        if key not in self._words:
+            if len(self._words) > 1 << 16:
+                self._words.clear()
+            self._words[key] = self._common_word(kind, token)
+        return self._words[key]
+
+    def _common_word(self, kind: str, token: str) -> str:
+        common = self.common[kind]
+        w = (SHORT_BODIES if kind == "org" else SHORT_PLACES).get(token.rstrip("."), token.rstrip("."))
+        if w in common:
+            return w
+        found = self._near[kind].find(w) if len(w) >= 4 else set()
+        if not found and kind == "org" and token.endswith("."):
+            found = {x for x in common if x.startswith(w)}
+        return min(found, key=lambda x: (-common[x], x), default="")
+
+    def formal_names(self, token: str) -> frozenset[str]:
+        """The given names a word may stand for; an initial as one letter; the word itself if it is near none (empty)."""
+        if token not in self._formal:
+            if len(self._formal) > 1 << 16:
+                self._formal.clear()
+            self._formal[token] = self._formal_names(token)
+        return self._formal[token]
+
+    def _formal_names(self, token: str) -> frozenset[str]:
+        word = token.rstrip(".")
+        if len(word) == 1:
+            return frozenset(word)
+        if word in GIVEN:
+            return GIVEN[word] | (frozenset(f for f in self.formal if _within(word, f)) if token.endswith(".") else frozenset())
+        if word in self.common["person"]:
+            return frozenset([word])
+        if token.endswith(".") or len(word) <= 3:
+            if found := frozenset(f for f in self.formal if _within(word, f)):
+                return found
+        sounds = {f for s in self._sounds.find(skeleton(word)) for f in self._of_sound[s]}
+        return frozenset(self._near_given.find(word) | sounds) or frozenset(f for f in self.formal if 4 <= len(word) <= 6 and f.startswith(word))
+
+    def person(self, text: str) -> Form | None:
+        shown = normal_form(text)
+        head, _, tail = shown.partition(",")
+        if tail and all(t.rstrip(".").lower() in GENERATIONS for t in _TOKEN.findall(tail)):
+            head, tail = f"{head} {tail}", ""
+        generation, surname, given, particle = "", [], [], ""
+        for part, of_surname in ((head, bool(tail)), (tail, False)):
+            for raw in _TOKEN.findall(part.replace(".", ". ")):
+                token = fold(raw)
+                word = token.rstrip(".")
+                if word in GENERATIONS and (len(word) > 1):
+                    generation = GENERATIONS[word]
+                elif word in TITLES and len(word) > 1 and not of_surname:
+                    continue
+                elif word in PARTICLES:
+                    particle = word
+                elif len(word) == 3 and not of_surname and raw.islower() and not shown.islower() and word not in GIVEN and (slip := _particle(word)):
+                    particle = slip
+                elif of_surname:
+                    surname.append(word)
+                elif raw.isupper() and 2 <= len(word) <= 3 and word not in GIVEN and not shown.isupper():
+                    given += [frozenset(c) for c in word]
+                else:
+                    given.append((self.formal_names(token), word))
+        if not surname:
+            named = [i for i, g in enumerate(given) if isinstance(g, tuple) and len(g[1]) > 1]
+            unknown = [i for i in named if not given[i][0]] or named
+            if not unknown:
+                return None
+            # of the words that are no given name the surname is the longest, the later one of equals
+            at = max(unknown, key=lambda i: (len(given[i][1]), i))
+            surname = [given.pop(at)[1]]
+        names = tuple((g[0] or frozenset([g[1]])) if isinstance(g, tuple) else g for g in given)
+        return Form("person", "".join(surname), particle, names, generation)
+
+    def place(self, text: str) -> Form | None:
+        region, shown, tail = _split_place(normal_form(text))
+        if tail:
+            words = [SHORT_PLACES.get(w, w) for w in _tokens(tail)]
+            if words and all(w in self.common["place"] or w in PLACE_DROPPED or len(w) == 1 for w in words):
+                shown = f"{tail} {shown}"
+            elif not region:
+                region = " ".join(words)
+        words, core = [], []
+        tokens = [t for t in _tokens(shown) if t not in PLACE_DROPPED]
+        for t in tokens:
+            if len(t) == 1:
+                words.append(t)
+            elif (known := self.word("place", t)) and (len(tokens) > 1 or known == t):
+                words.append(known)
+            else:
+                core.append(t)
+        if not core and (named := [w for w in words if len(w) > 1]):
+            core = [min(named, key=lambda w: (self.common["place"].get(w, 0.0), -len(w), w))]
+            words.remove(core[0])
+        if not core:
+            return None
+        return Form("place", "".join(core), words=tuple(sorted(words)), region=region)
+
+    def org(self, text: str) -> Form | None:
+        shown = normal_form(text)
+        if (inner := re.fullmatch(r"\s*([A-Za-z]{3,8})\s*\(([^)]*)\)\s*", shown)) is not None:
+            tokens = [t for t in _tokens(inner[2]) if t not in LINKS]
+            own = [t for t in tokens if t not in self.common["org"]] or tokens
+            return Form("org", "".join(own), letters=inner[1].lower()) if own else None
+        raws = _TOKEN.findall(shown)
+        if len(raws) == 1 and raws[0].isupper() and len(raws[0]) <= 8:
+            return Form("org", "", letters=raws[0].lower())
+        words, core = [], []
+        for raw in raws:
             token = fold(raw)
-            word = token.rstrip(".")
-            if word in GENERATIONS and (len(word) > 1):
-                generation = GENERATIONS[word]
-            elif word in TITLES and len(word) > 1 and not of_surname:
+            if token.rstrip(".") in LINKS:
                 continue
-            elif word in PARTICLES or len(word) == 3 and close(word, "van") and word not in GIVEN and not of_surname and len(raw) == 3 and raw.islower() and not shown.islower():
-                particle = "van" if word not in PARTICLES else word
-            elif of_surname:
-                surname.append(word)
-            elif raw.isupper() and 2 <= len(word) <= 3 and word not in GIVEN and not shown.isupper():
-                given += [frozenset(c) for c in word]
+            if known := self.word("org", token):
+                words.append(known)
             else:
-                given.append((formal_names(token), word))
-    if not surname:
-        named = [i for i, g in enumerate(given) if isinstance(g, tuple) and len(g[1]) > 1]
-        unknown = [i for i in named if not given[i][0]] or named
-        if not unknown:
+                core.append(token.rstrip("."))
+        if not core and words:
+            core = [min(words, key=lambda w: (self.common["org"].get(w, 0.0), -len(w), w))]
+            words.remove(core[0])
+        if not core:
+            return None
+        if len(core) > 1:  # the word that names the body is the longest; others are words of the name
+            longest = max(core, key=len)
+            words += [c for c in core if c != longest]
+            core = [longest]
+        return Form("org", core[0], words=tuple(sorted(w for w in words if w not in DROPPED)))
+
+    def kind_of(self, type_name: str | None, names: list[str]) -> str:
+        """person, org or place: by type, else by the kind whose common words the names have most of, else by their form."""
+        if type_name in KINDS:
+            return KINDS[type_name]
+        if not names:
+            return "person"
+        votes = {}
+        for kind, short in (("org", SHORT_BODIES), ("place", SHORT_PLACES), ("person", {})):
+            common = self.common[kind]
+            # capitals such as MT may be initials, so short forms count in lower case only
+            spelled = [fold(t).rstrip(".") for n in names for t in _TOKEN.findall(n) if fold(t).rstrip(".") not in short or not t.rstrip(".").isupper()]
+            found = [short.get(t, t) for t in spelled if t in common or t in short]
+            votes[kind] = sum(max(common.get(w, 0.0), 1e-9) for w in found) / max(len(spelled), 1)
+        best = max(votes, key=lambda k: votes[k])
+        if votes[best] > 0:
+            return best
+        return "place" if len(_tokens(names[0])) <= 1 or ":" in names[0] or any(t in ("city", "town", "village") for t in _tokens(names[0])) else "person"
+
+    def record(self, type_name: str | None, label: str | None, aliases_json: str | None) -> Record | None:
+        """A record's names in one description; None if none of them can be read."""
+        names = [n for n in [label or "", *aliases(aliases_json)] if n.strip()]
+        if not names:
             return None
-        # of the words that are no given name the surname is the longest, the later one of equals
-        at = max(unknown, key=lambda i: (len(given[i][1]), i))
-        surname = [given.pop(at)[1]]
-    names = tuple((g[0] or frozenset([g[1]])) if isinstance(g, tuple) else g for g in given)
-    return Form("person", "".join(surname), particle, names, generation)
+        kind = self.kind_of(type_name, names)
+        forms = [f for f in (getattr(self, kind)(n) for n in names) if f]
+        full = [f for f in forms if f.full]
+        return _described(kind, type_name if type_name in ("Scientist", "Artist") else "", forms, full) if full else None
 
 
-def _place(text: str) -> Form | None:
-    shown = normal_form(text)
-    region = ""
-    before, colon, after = shown.partition(":")
-    if colon:
-        region, shown = fold(before).strip(), after
-    head, comma, tail = shown.rpartition(",")
-    if comma:
-        words = [SHORT_PLACES.get(w, w) for w in re.findall(r"[a-z]+", fold(tail))]
-        if words and all(w in PLACE_WORDS or w in PLACE_DROPPED or len(w) == 1 for w in words):
-            shown = f"{tail} {head}"
-        else:
-            region, shown = " ".join(words), head
-    if (inner := re.search(r"\(([^)]*)\)", shown)) is not None:
-        region, shown = fold(inner[1]).strip(), shown.replace(inner[0], " ")
-    words, core = [], []
-    tokens = [t for t in re.findall(r"[a-z]+", fold(shown)) if t not in PLACE_DROPPED]
-    for t in tokens:
-        w = SHORT_PLACES.get(t, t)
-        if w in PLACE_WORDS or len(w) == 1:
-            words.append(w)
-        elif len(tokens) > 1 and len(w) >= 4 and (near := [p for p in PLACE_WORDS if len(p) >= 4 and close(w, p)]):
-            words.append(near[0])
-        else:
-            core.append(w)
-    if not core:
-        return None
-    return Form("place", "".join(core), words=tuple(sorted(words)), region=region)
-
-
-_ORG_WORDS = BODIES | FIELDS
-
-
-def _org_word(w: str) -> str:
-    """The word of a body or field that a token stands for, else nothing."""
-    w = SHORT_BODIES.get(w, w)
-    if w in _ORG_WORDS:
-        return w
-    near = [x for x in _NEAR_WORDS.get(len(w), ()) if close(w, x)] if len(w) >= 4 else []
-    return near[0] if near else ""
-
-
-_NEAR_WORDS = {n: [w for w in sorted(_ORG_WORDS) if abs(len(w) - n) <= 1 and len(w) >= 5] for n in range(4, 16)}
-
-
-def _org(text: str) -> Form | None:
-    shown = normal_form(text)
-    if (inner := re.fullmatch(r"\s*([A-Za-z]{3,8})\s*\(([^)]*)\)\s*", shown)) is not None:
-        tokens = [t for t in re.findall(r"[a-z]+", fold(inner[2])) if t not in LINKS and t not in RANKS]
-        return Form("org", "".join(tokens), letters=inner[1].lower()) if tokens else None
-    raws = _TOKEN.findall(shown)
-    if len(raws) == 1 and raws[0].isupper() and len(raws[0]) <= 8:
-        return Form("org", "", letters=raws[0].lower())
-    words, ranks, core = [], [], []
-    for raw in raws:
-        token = fold(raw)
-        w = token.rstrip(".")
-        if w in LINKS:
-            continue
-        if w in RANKS and not core:
-            ranks.append(w)
-        elif known := _org_word(w):
-            words.append(known)
-        elif token.endswith(".") and (short := [x for x in sorted(_ORG_WORDS) if x.startswith(w)]):
-            words.append(short[0])
-        else:
-            core.append(w)
-    if not core:
-        return None
-    if len(core) > 1:  # the coined word is the longest; others are words of the name
-        longest = max(core, key=len)
-        words += [c for c in core if c != longest]
-        core = [longest]
-    return Form("org", core[0], particle=" ".join(sorted(ranks)), words=tuple(sorted(w for w in words if w not in DROPPED)))
-
-
-def kind_of(type_name: str | None, names: list[str]) -> str:
-    """person, org or place: by type, else by the words of the names."""
-    if type_name in KINDS:
-        return KINDS[type_name]
-    tokens = [t for n in names for t in re.findall(r"[a-z]+", fold(n))]
-    if any(t in BODIES or t in SHORT_BODIES for t in tokens):
-        return "org"
-    label = re.findall(r"[a-z]+", fold(names[0])) if names else []
-    # capitals such as MT may be initials, so short forms count in lower case only
-    short = {fold(t).rstrip(".") for t in _TOKEN.findall(names[0]) if not t.rstrip(".").isupper()} & SHORT_PLACES.keys() if names else set()
-    if len(label) <= 1 or short or any(t in PLACE_WORDS or t in ("city", "town", "village") for t in tokens) or ":" in names[0]:
-        return "place"
-    return "person"
+def _particle(word: str) -> str:
+    """The particle of three letters that a word of three may be, one slip allowed."""
+    return min((p for p in PARTICLES if len(p) == 3 and close(word, p)), default="", key=lambda p: (p != "van", p))
 
 
 def aliases(text: str | None) -> list[str]:
@@ -325,18 +434,7 @@ def _tightest(sets: list[frozenset[str]]) -> frozenset[str]:
     return out
 
 
-def record(type_name: str | None, label: str | None, aliases_json: str | None) -> Record | None:
-    """A record's names in one description; None if none of them can be read."""
-    names = [n for n in [label or "", *aliases(aliases_json)] if n.strip()]
-    if not names:
-        return None
-    kind = kind_of(type_name, names)
-    read = {"person": _person, "org": _org, "place": _place}[kind]
-    forms = [f for f in (read(n) for n in names) if f]
-    full = [f for f in forms if f.full]
-    if not full:
-        return None
-    subtype = type_name if type_name in ("Scientist", "Artist") else ""
+def _described(kind: str, subtype: str, forms: list[Form], full: list[Form]) -> Record:
     if kind == "person":
         cores = tuple(sorted({f.core for f in full}))
         middles = [f.given[1] for f in full if len(f.given) > 1]
@@ -352,8 +450,8 @@ def record(type_name: str | None, label: str | None, aliases_json: str | None) -
     spelled = [f for f in full if f.words]
     if not spelled:
         return Record(kind, subtype, tuple(sorted({f.core for f in full})), letters=full[0].letters)
-    best = max(spelled, key=lambda f: (len(f.words), f.particle))
-    return Record(kind, subtype, tuple(sorted({f.core for f in full})), particle=best.particle, words=best.words)
+    best = max(spelled, key=lambda f: len(f.words))
+    return Record(kind, subtype, tuple(sorted({f.core for f in full})), words=best.words)
 
 
 def initials(r: Record) -> str:
@@ -367,7 +465,7 @@ def initials(r: Record) -> str:
         if r.cores[0][0] in rest:
             rest.remove(r.cores[0][0])
         return "".join(sorted(rest))
-    return "".join(sorted([w[0] for w in r.words] + [w[0] for w in r.particle.split()]))
+    return "".join(sorted(w[0] for w in r.words))
 
 
 def _cores_agree(a: Record, b: Record, most: int) -> bool:
@@ -405,7 +503,7 @@ def agree(a: Record, b: Record) -> bool:
         )
     if a.letters or b.letters:
         return initials(a) == initials(b)
-    return a.particle == b.particle and len(a.words) == len(b.words) and all(x == y or close(x, y) for x, y in zip(a.words, b.words, strict=True))
+    return initials(a) == initials(b) and all(x == y or close(x, y) for x, y in zip(a.words, b.words, strict=True))
 
 
 def refinements(r: Record) -> list[str]:

@@ -9,9 +9,11 @@ end of the core, and only then discarded.  Pairs are compared by
 longest-common-subsequence ratio and by whether the rest of the names
 contradict.
 
-Discarding loses nothing: the different cores of such blocks, and cores too
-short for two fragments, meet by what is left when one letter is taken out, a
-key that any two cores one slip apart have in common.
+Discarding loses no pair one slip apart (a letter more, less, another, or two
+neighbours swapped): the different cores of such blocks, and cores too short for
+two fragments, meet by what is left when one letter is taken out, a key that any
+two such cores have in common.  Cores that differ by a letter moved further are
+linked if they share a fragment that is kept.
 
 Records that say the same are one node from the start, so copies cost nothing.
 A record that leaves open what tells others apart (an initial, no middle name,
@@ -20,6 +22,8 @@ no region) is linked only if the others agree on it.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,13 +42,58 @@ COMMON = 64
 _READ = T.StructType([T.StructField("record", T.StringType()), T.StructField("cores", T.ArrayType(T.StringType())), T.StructField("refined", T.ArrayType(T.StringType())), T.StructField("rest", T.StringType())])
 
 
-@F.pandas_udf(_READ)
-def _read(types: pd.Series, labels: pd.Series, aliases: pd.Series) -> pd.DataFrame:
+#: A word is common if it stands in one of so many different names of its kind, and in this many at least.
+COMMON_SHARE, COMMON_LEAST = 1_000, 20
+
+_WORDS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("name", T.LongType()), T.StructField("words", T.ArrayType(T.StringType()))]))
+
+
+@F.pandas_udf(_WORDS)
+def _words(types: pd.Series, labels: pd.Series, alias_lists: pd.Series) -> pd.Series:
     out = []
-    for t, label, alias in zip(types, labels, aliases, strict=True):
-        r = names.record(t, label, alias)
-        out.append((r.dump(), sorted({names.skeleton(c) for c in r.cores}), names.refinements(r), r.rest()) if r else (None, [], [], None))
-    return pd.DataFrame(out, columns=["record", "cores", "refined", "rest"])
+    for t, label, listed in zip(types, labels, alias_lists, strict=True):
+        read = [(names.KINDS[t], n) for n in [label or "", *names.aliases(listed)] if n.strip()]
+        out.append([(kind, hash_of(n), sorted(set(words))) for kind, n in read if (words := names.words_in(kind, n))])
+    return pd.Series(out)
+
+
+def hash_of(name: str) -> int:
+    """A number of 64 bits for a name as it is folded."""
+    return int.from_bytes(blake2b(names.fold(name).encode(), digest_size=8).digest(), signed=True)
+
+
+def learn(entities: DataFrame) -> names.Lexicon:
+    """The common words of each kind of name, from all records whose type tells the kind.
+
+    Equal names count once, so copies make no word common.  What is collected is
+    bounded: a name has few words, and a word must stand in a
+    ``COMMON_SHARE``-th of the names.  A small table teaches little; give
+    :func:`variants` a lexicon then.
+    """
+    typed = entities.where(F.col("type").isin(*names.KINDS)).select("type", "label", "aliases_json")
+    read = typed.select(F.explode(_words("type", "label", "aliases_json")).alias("n")).select("n.*").distinct()
+    counted = cut(read.select("kind", F.explode(F.array_append("words", "")).alias("word")).groupBy("kind", "word").agg(F.count(F.lit(1)).alias("n")))
+    whole = {r["kind"]: r["n"] for r in counted.where("word = ''").collect()}
+    least = F.coalesce(*[F.when(F.col("kind") == k, F.lit(max(COMMON_LEAST, n / COMMON_SHARE))) for k, n in whole.items()], F.lit(0.0))
+    found: dict[str, dict[str, float]] = {}
+    for r in counted.where((F.col("word") != "") & (F.col("n") >= least)).collect():
+        found.setdefault(r["kind"], {})[r["word"]] = r["n"] / whole[r["kind"]]
+    return names.Lexicon(**found)
+
+
+def read_names(entities: DataFrame, key: str, lexicon: names.Lexicon) -> DataFrame:
+    """``key``, record (text; null if no name can be read), cores, refined and rest of every entity."""
+    shared = entities.sparkSession.sparkContext.broadcast(lexicon)
+
+    @F.pandas_udf(_READ)
+    def read(types: pd.Series, labels: pd.Series, aliases: pd.Series) -> pd.DataFrame:
+        reader, out = shared.value.reader, []
+        for t, label, alias in zip(types, labels, aliases, strict=True):
+            r = reader.record(t, label, alias)
+            out.append((r.dump(), sorted({names.skeleton(c) for c in r.cores}), names.refinements(r), r.rest()) if r else (None, [], [], None))
+        return pd.DataFrame(out, columns=["record", "cores", "refined", "rest"])
+
+    return entities.select(key, read("type", "label", "aliases_json").alias("r")).select(key, "r.*")
 
 
 _JUDGED = T.StructType([T.StructField(n, T.StringType()) for n in ("first", "middle", "region")] + [T.StructField("agree", T.BooleanType())])
@@ -63,11 +112,6 @@ def _judge(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["first", "middle", "region", "agree"])
 
 
-def read_names(entities: DataFrame, key: str) -> DataFrame:
-    """``key``, record (text; null if no name can be read), cores and refined of every entity."""
-    return entities.withColumn("r", _read("type", "label", "aliases_json")).select(key, "r.*")
-
-
 def _index(nodes: DataFrame) -> DataFrame:
     """Fragments of the cores: block, node, core, next letter inwards, and the two letters at the far end."""
     whole = nodes.select("node", F.explode("refined").alias("refined"), "cores").select("node", "refined", F.explode("cores").alias("core"))
@@ -149,16 +193,17 @@ def _links(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return agreed.select("a", "b").join(refused, ["a", "b"], "left_anti")
 
 
-def variants(entities: DataFrame) -> DataFrame:
+def variants(entities: DataFrame, lexicon: names.Lexicon | None = None) -> DataFrame:
     """id and cluster (the smallest seq of its records) of every record that has another spelling or copy.
 
     Takes id, seq (both unique), type, label and aliases_json.  Null labels and
     aliases, aliases that are no valid JSON and names in any form are read as
     far as they go; a record without a readable name is linked to none, so is
     one of empty text.  An empty table gives an empty result; extra columns are
-    ignored.
+    ignored.  ``lexicon`` has the common words of names; by default they are
+    learnt from the table (:func:`learn`).  Jobs run while the result is built.
     """
-    records = cut(read_names(entities.where("id is not null").select("id", "seq", "type", "label", "aliases_json"), "id"))
+    records = cut(read_names(entities.where("id is not null").select("id", "seq", "type", "label", "aliases_json"), "id", lexicon or learn(entities)))
     seqs = entities.select("id", "seq")
     read = records.where("record is not null").select("id", "record").join(seqs, "id")
     nodes = cut(

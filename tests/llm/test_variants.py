@@ -9,6 +9,12 @@ from factloom.llm.components import components
 
 SCHEMA = "seq long, id string, label string, type string, aliases_json string, provisional boolean"
 
+#: What the small tables of these tests cannot teach.
+LEXICON = N.Lexicon(
+    org=dict.fromkeys("royal first second college association academy marine cartography choral music peat ecology".split(), 0.1),
+    place=dict.fromkeys("new north south heath port".split(), 0.1),
+)
+
 SAME = [
     [("Person", "Anthony Skestuthetut", None), ("Scientist", "Skestuthetut, Tony", "[]"), (None, "A. Skestuthetut", '["Antony Skestuthetut"]'), ("Person", "Dr Anthonу Skeѕtutthetut", "bad json")],
     [("Person", "Olivia Dorothy Trafeshofet Jr.", None), ("Person", "Trafeshofet, Liv, Junior", None)],
@@ -33,7 +39,7 @@ def test_variants_are_linked_and_namesakes_are_not(spark):
             ids.append(f"id{seq:03d}")
             rows.append((seq, ids[-1], label, kind, alias, False))
         want |= set(itertools.combinations(ids, 2))
-    got = {tuple(r) for r in V.pairs_of(V.variants(spark.createDataFrame(rows, SCHEMA).repartition(3))).collect()}
+    got = {tuple(r) for r in V.pairs_of(V.variants(spark.createDataFrame(rows, SCHEMA).repartition(3), LEXICON)).collect()}
     assert got == want
     assert V.variants(spark.createDataFrame([], SCHEMA)).count() == 0
 
@@ -41,12 +47,12 @@ def test_variants_are_linked_and_namesakes_are_not(spark):
 def test_what_is_left_open_is_not_guessed(spark):
     rows = [(1, "a", "S. Pohuzusund", "Person", None, False), (2, "b", "Susannah Pohuzusund", "Person", None, False), (3, "c", "Samuel Pohuzusund", "Person", None, False),
             (4, "d", "Port Shekihezus", "Place", None, False), (5, "e", "Port Shekihezus, Sundmoor", "Place", None, False)]
-    assert {tuple(r) for r in V.pairs_of(V.variants(spark.createDataFrame(rows, SCHEMA))).collect()} == {("d", "e")}
+    assert {tuple(r) for r in V.pairs_of(V.variants(spark.createDataFrame(rows, SCHEMA), LEXICON)).collect()} == {("d", "e")}
 
 
 def test_a_swap_in_the_middle_of_eight_letters_is_met(spark):
     rows = [(1, "a", "Anthony Brumikat", "Person", None, False), (2, "b", "Anthony Bruimkat", "Person", None, False), (3, "c", "Anthony Brumskot", "Person", None, False)]
-    a, b, c = (N.record("Person", label, None) for _, _, label, *_ in rows)
+    a, b, c = (N.Lexicon().reader.record("Person", label, None) for _, _, label, *_ in rows)
     assert len(N.skeleton(a.cores[0])) == 8 and N.agree(a, b) and not N.agree(a, c)
     assert {tuple(r) for r in V.pairs_of(V.variants(spark.createDataFrame(rows, SCHEMA))).collect()} == {("a", "b")}
 
@@ -56,9 +62,18 @@ def typed(rng, word):
     return rng.choice([word[:i] + word[i + 1 :], word[:i] + rng.choice("aeotk") + word[i:], word[:i] + word[i + 1] + word[i] + word[i + 2 :], word[:i] + "u" + word[i + 1 :]])
 
 
+def one_slip(a, b):
+    """A letter more, less, another, or two neighbours swapped."""
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    return len(a) < 2 and len(b) < 2 or len(a) == len(b) == 2 and a == b[::-1]
+
+
 @pytest.mark.parametrize("common", [64, 4, 1])
 def test_clusters_are_those_of_all_pairs(spark, monkeypatch, common):
-    """Whatever is discarded as overly common, the clusters stay those of a comparison of all with all."""
+    """Whatever is discarded as overly common, no pair one slip apart is lost, and none is linked that a comparison of all with all would not link."""
     monkeypatch.setattr(V, "COMMON", common)
     rng = random.Random(6)
     cores = ["".join(rng.choice(["ska", "tri", "mo", "ve", "lun", "dro", "ki", "zu", "pe"]) for _ in range(4)) for _ in range(25)]
@@ -66,7 +81,7 @@ def test_clusters_are_those_of_all_pairs(spark, monkeypatch, common):
     for i in range(250):
         core = rng.choice(cores)
         rows.append((i, f"id{i:03d}", f"{rng.choice(['Anthony', 'Ursula'])} {(typed(rng, core) if rng.random() < 0.5 else core).capitalize()}", "Person", None, False))
-    read = {i: N.record("Person", label, None) for i, _, label, *_ in rows}
+    read = {i: N.Lexicon().reader.record("Person", label, None) for i, _, label, *_ in rows}
     truth = {(a, b) for a, b in itertools.combinations(sorted(read), 2) if N.agree(read[a], read[b])}
     df = spark.createDataFrame(rows, SCHEMA)
     cluster = {i: i for i in read}
@@ -75,8 +90,59 @@ def test_clusters_are_those_of_all_pairs(spark, monkeypatch, common):
             cluster[a] = cluster[b] = min(cluster[a], cluster[b])
     want = {f"id{i:03d}": c for i, c in cluster.items() if sum(x == c for x in cluster.values()) > 1}
     got = {r["id"]: r["cluster"] for r in V.variants(df).collect()}
-    same = sum(got.get(i) == c for i, c in want.items())
-    assert same / len(want) >= 0.99 and len(got) <= len(want) * 1.01
+    for a, b in truth:
+        if one_slip(*(N.skeleton(read[i].cores[0]) for i in (a, b))):
+            assert got[f"id{a:03d}"] == got[f"id{b:03d}"]
+    assert all(want[i] <= c and want[i] == want[f"id{c:03d}"] for i, c in got.items()) and len(got) > 200
+
+
+#: A vocabulary of its own, none of whose words the library names.
+BODIES, FIELDS, FRONTS = "zeppelin observatory kennel cooperative".split(), "falconry volcanoes saffron puppetry glaciers orchids".split(), "gilded jade northernmost".split()
+GIVEN = "Gwendolyn Ibrahim Sigrid Takeshi Oluwaseun Marisol".split()
+
+
+def foreign_table(seed, things=400):
+    """Rows of bodies and persons of that vocabulary, each thing typed several times, and the thing of each id."""
+    rng = random.Random(seed)
+    coin = lambda: "".join(rng.choice(["ska", "tri", "mo", "ve", "lun", "dro", "ki", "zu", "pe", "hu", "ra"]) for _ in range(4))
+    rows, thing = [], {}
+    for t in range(things):
+        core = coin()
+        parts = [rng.choice(FRONTS), core, rng.choice(BODIES), "of", *rng.sample(FIELDS, 2)]
+        person = f"{rng.choice(GIVEN)} {core.capitalize()}"
+        for _ in range(rng.choice([1, 2, 3])):
+            seq = len(rows)
+            if t % 2:
+                words = list(parts)
+                at = rng.choice([0, 1, 2, 4, 5])
+                words[at] = typed(rng, words[at]) if rng.random() < 0.5 else words[at]
+                if rng.random() < 0.3:
+                    words = [words[2], "of", words[4], words[5], words[0], words[1]]
+                label, kind = " ".join(words).title(), "Organization"
+            else:
+                given, surname = person.split()
+                given = typed(rng, given).capitalize() if rng.random() < 0.4 else given
+                label, kind = rng.choice([f"{given} {surname}", f"{surname}, {given}", f"{given} {surname}".upper()]), "Person"
+            rows.append((seq, f"id{seq:04d}", label, kind if rng.random() < 0.9 else None, None, False))
+            thing[rows[-1][1]] = t
+    return rows, thing
+
+
+def test_words_of_names_are_learnt_from_the_table(spark):
+    rows, thing = foreign_table(3)
+    df = spark.createDataFrame(rows, SCHEMA)
+    lexicon = V.learn(df)
+    assert set(lexicon.org) >= {*BODIES, *FIELDS, *FRONTS} and set(lexicon.person) >= {g.lower() for g in GIVEN} and not lexicon.place
+    want = {(a, b) for a, b in itertools.combinations(sorted(thing), 2) if thing[a] == thing[b]}
+    got = {tuple(r) for r in V.pairs_of(V.variants(df, lexicon)).collect()}
+    assert len(want) > 200 and len(got & want) / len(want) >= 0.95 and len(got & want) / len(got) >= 0.98
+    assert V.learn(df.limit(0)) == N.Lexicon()
+
+
+def test_a_name_of_common_words_alone_is_told_by_its_rarest():
+    reader = N.Lexicon(org={"royal": 0.5, "gritebeskux": 0.3, "college": 0.6}).reader
+    r = reader.record("Organization", "Royal Gritbeskux College", None)
+    assert r.cores == ("gritebeskux",) and r.words == ("college", "royal")
 
 
 def test_a_hot_name_is_one_node_and_one_cluster(spark):
