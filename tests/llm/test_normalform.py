@@ -6,7 +6,18 @@ from factloom.llm.normalform import in_form, normal_form
 
 
 def test_mapping_is_free_of_conflicts():
-    assert N.transducer().conflicts(N.mapping()) == [] and len(N.mapping()) > 5_000
+    assert N.checked().conflicts() == [] and len(N.mapping()) > 5_000
+    assert N.Transducer({"x": "\u00a0"}).conflicts() == ["x"]  # an output that is not in the form itself
+    assert all(N._by_rule(key) == value for key, value in N.mapping().items())
+
+
+def test_clusters_are_read_whole():
+    cases = {
+        "a\u0302\u0323": "\u1ead", "a\u200b\u0323\u200d\u0302b": "\u1eadb", "o\u0301\u031b\u0323": "\u1ee3\u0301", "\u1100\u200b\u1161\u11a8": "\uac01", "\uffa1\uffc2": "\uac00",
+        "\uff76\uff9e": "\u30ac", "q\u0308\u0323": "q\u0323\u0308", "\u0435\u0301t": "\u00e9t", "\u202ea\u202c": "a", "e\u0301\u0435": "\u00e9e",
+    }
+    for text, form in cases.items():
+        assert normal_form(text) == form, ascii(text)
 
 
 def test_forms():
