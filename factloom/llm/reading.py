@@ -18,15 +18,19 @@ import re
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Most graded passages to fit on.
 MOST_PASSAGES = 20_000
+#: Parts of the passages, each of which is scored by a ranker of the others for the calibration.
+FOLDS = 5
 #: Pseudo-passages at the middle grade behind the grade of a word or pair.
 PRIOR, PRIOR_VARIANCE = 1.0, 2.0
 #: More than the different words of the passages can be.
@@ -64,37 +68,22 @@ def _sentences(text: str) -> list[str]:
 JOINTS = frozenset("and by de for in of on the van".split())
 
 
+#: A name in the words of a sentence, which begins a line: no capital alone before a small word at its start.
+_NAME = regex.compile(
+    rf"(?m)(?:(?<= )|^(?!\p{{Lu}}\S*+ \P{{Lu}}))\p{{Lu}}\S*+(?:(?: (?:{'|'.join(sorted(JOINTS))})(?= )){{0,2}} \p{{Lu}}\S*+)*+"
+)
+_MARK = "\0"
+
+
 def words_of(text: str) -> tuple[list[str], int]:
     """The words in lower case, with an empty string for each name, and the number of sentences.
 
-    A name is a run of capitalised words, with joints between them.  A capital
-    at the start of a sentence makes no name if a small word follows.
+    A name is a run of capitalised words, with up to two joints between them.  A
+    capital at the start of a sentence makes no name if a small word follows.
     """
-    out: list[str] = []
-    sentences = 0
-    for sentence in _sentences(text):
-        words = _WORD.findall(sentence)
-        sentences += bool(words)
-        capital = [w[0].isupper() for w in words]
-        if len(words) > 1 and capital[0] and not capital[1]:
-            capital[0] = False
-        at = 0
-        while at < len(words):
-            if not capital[at]:
-                out.append(words[at].lower())
-                at += 1
-                continue
-            end = at + 1
-            while end < len(words):
-                ahead = end
-                while ahead < len(words) and ahead < end + 2 and words[ahead] in JOINTS:
-                    ahead += 1
-                if ahead >= len(words) or not capital[ahead]:
-                    break
-                end = ahead + 1
-            out.append("")
-            at = end
-    return out, sentences
+    lines = [" ".join(words) for sentence in _sentences(text) if (words := _WORD.findall(sentence))]
+    marked = _NAME.sub(_MARK, "\n".join(lines)).lower().replace("\n", " ")
+    return [w if w != _MARK else "" for w in marked.split(" ")] if lines else [], len(lines)
 
 
 def _plain(text: str) -> str:
@@ -118,6 +107,26 @@ def syntax(text: str, words: Sequence[str], sentences: int) -> list[float]:
     ]
 
 
+#: What syntax asks of a word, as bits.
+_GROUPS = [SUBORDINATORS, AUXILIARIES, NEGATIONS, frozenset(["and"])]
+_BITS = {w: sum(1 << i for i, group in enumerate(_GROUPS) if w in group) for w in frozenset().union(*_GROUPS)}
+
+
+def _syntax_of_batch(plains: Sequence[str], parsed: Sequence[tuple[list[str], int]], bits: np.ndarray, lengths: np.ndarray, of: np.ndarray, single: np.ndarray) -> np.ndarray:
+    """:func:`syntax` of many texts at once, one row each; of every word its bits, length, text, and whether it is a word or a name."""
+    rows = len(plains)
+    total = lambda values: np.bincount(of, values, rows)
+    words = np.maximum(total(single), 1)
+    whole = words + total(~single)
+    sentences = np.array([max(n, 1) for _, n in parsed])
+    marks = np.array([p.count(",") + p.count(";") + p.count(":") for p in plains])
+    distinct = np.array([len(d := set(ws)) - ("" in d) for ws, _ in parsed])
+    return np.column_stack([
+        np.log1p(whole / sentences), np.log1p(whole / (sentences + marks)), marks / words, *[total(bits >> i & 1) / words for i in range(len(_GROUPS))],
+        total(lengths) / words, *[total(lengths >= least) / words for least in (7, 10, 13)], distinct / words,
+    ])
+
+
 class Grades:
     """Grades of keys, from the bands of the passages that hold them.
 
@@ -142,6 +151,19 @@ class Grades:
         grade = total / count
         return np.vstack([grade, 1 / (0.1 + square / count - grade**2)])
 
+    def of_batch(self, keys: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+        """:meth:`features` of ``n`` texts at once, one row each; ``text`` is the number of the text that a key stands in."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        at = np.where(self.keys[at] == keys, at, len(self.keys)) if len(self.keys) else np.zeros(len(keys), dtype=np.int64)
+        grade, weight = self.table[:, at]
+        per_text = lambda values: np.bincount(text, values, n)
+        some = per_text(np.ones(len(keys))) > 0
+        whole, count = np.where(some, per_text(weight), 1.0), np.where(some, per_text(np.ones(len(keys))), 1.0)
+        means = np.column_stack([per_text(grade * weight) / whole, per_text(grade) / count])
+        means[~some] = self.middle
+        shares = [per_text(weight * (grade < self.middle - 0.75)) / whole, per_text(weight * (grade > self.middle + 0.5)) / whole]
+        return np.column_stack([means, *shares])
+
     def features(self, keys: np.ndarray, own: float | None = None) -> list[float]:
         """Weighted and plain mean grade, and the weighted shares of easy and of hard keys; ``own``: as if a passage of that band were unknown."""
         if not len(keys):
@@ -179,11 +201,28 @@ class Model:
     low: int
     high: int
 
+    def scores(self, texts: Sequence[str]) -> np.ndarray:
+        """The score of every text; words and pairs are graded for all texts at once."""
+        plains = [_plain(t) for t in texts]
+        parsed = [words_of(p) for p in plains]
+        n = len(texts)
+        flat = list(chain.from_iterable(ws for ws, _ in parsed))
+        of = np.repeat(np.arange(n), [len(ws) for ws, _ in parsed])
+        # what is asked of a word is asked once for all its places
+        code = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+        at = np.fromiter(map(code.__getitem__, flat), dtype=np.int64, count=len(flat))
+        ids, bits, lengths = (np.array(list(map(ask, code)), dtype=np.int64) for ask in (lambda w: self.ids.get(w, 1), lambda w: _BITS.get(w, 0), len))
+        numbers = ids[at]
+        pairs = numbers[:-1] * PAIR + numbers[1:]
+        single, double = numbers > 0, (pairs > 0) & (of[:-1] == of[1:])
+        x = np.column_stack([
+            self.words.of_batch(numbers[single], of[single], n), self.pairs.of_batch(pairs[double], of[:-1][double], n),
+            _syntax_of_batch(plains, parsed, bits[at], lengths[at], of, single),
+        ])
+        return ((x - self.centre) / self.spread) @ self.weights
+
     def score(self, text: str) -> float:
-        plain = _plain(text)
-        ws, sentences = words_of(plain)
-        x = _features(plain, ws, sentences, self.ids, self.words, self.pairs)
-        return float(((np.array(x) - self.centre) / self.spread) @ self.weights)
+        return float(self.scores([text])[0])
 
     def level(self, score: float) -> float:
         """Calibrated level, between the lowest and the highest band."""
@@ -247,11 +286,29 @@ def isotonic(scores: np.ndarray, bands: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.array(knots), np.array(levels)
 
 
+def held_out_scores(features: np.ndarray, bands: np.ndarray, weights: np.ndarray, folds: int = FOLDS) -> np.ndarray:
+    """The score of every passage by a ranker that has not seen it, on the scale of ``weights``; without enough passages by ``weights``.
+
+    Folds take turns within a band, so every one has all bands.
+    """
+    order = np.lexsort((np.arange(len(bands)), bands))
+    fold = np.empty(len(bands), dtype=np.int64)
+    fold[order] = np.arange(len(bands)) % folds
+    out = features @ weights
+    for k in range(folds):
+        rest = fold != k
+        if len(np.unique(bands[rest])) == len(np.unique(bands)) and not rest.all():
+            other = rank(features[rest], bands[rest])
+            out[~rest] = features[~rest] @ other * (np.linalg.norm(weights) / max(np.linalg.norm(other), 1e-9))
+    return out
+
+
 def fit(texts: Sequence[str], bands: Sequence[int]) -> Model:
     """Fit the ranker and its calibration to graded passages.
 
     The grade of a passage's own words leaves that passage out, so that scores
-    of passages and of new texts are alike.
+    of passages and of new texts are alike, and the calibration sees each passage
+    with the score of a ranker fitted on others.
     """
     bands_ = np.array(bands, dtype=float)
     plains = [_plain(t) for t in texts]
@@ -263,7 +320,7 @@ def fit(texts: Sequence[str], bands: Sequence[int]) -> Model:
     centre, spread = raw.mean(0), raw.std(0) + 1e-9
     x = (raw - centre) / spread
     weights = rank(x, bands_)
-    knots, levels = isotonic(x @ weights, bands_)
+    knots, levels = isotonic(held_out_scores(x, bands_, weights), bands_)
     return Model(ids, words, pairs, centre, spread, weights, knots, levels, int(bands_.min()), int(bands_.max()))
 
 
@@ -288,11 +345,12 @@ def reading_level(spark, model: Model, text: Column) -> Column:
     @F.pandas_udf(_LEVEL)
     def levels(texts: pd.Series) -> pd.DataFrame:
         m = shared.value
-        scores = [m.score(t) if t and _WORD.search(t) else None for t in texts]
-        return pd.DataFrame({
-            "score": pd.Series(scores, dtype="float64"),
-            "level": pd.Series([None if s is None else m.level(s) for s in scores], dtype="float64"),
-            "band": pd.Series([None if s is None else m.band(s) for s in scores], dtype="Int32"),
-        })
+        some = np.array([bool(t and _WORD.search(t)) for t in texts], dtype=bool)
+        scores = np.full(len(texts), np.nan)
+        if some.any():
+            scores[some] = m.scores([t for t, s in zip(texts, some, strict=True) if s])
+        level = np.where(some, np.interp(np.nan_to_num(scores), m.knots, m.levels), np.nan)
+        band = pd.Series(np.clip(np.floor(np.nan_to_num(level) + 0.5), m.low, m.high).astype("int32")).astype("Int32").mask(~some)
+        return pd.DataFrame({"score": pd.Series(scores).mask(~some), "level": pd.Series(level).mask(~some), "band": band})
 
     return levels(text)

@@ -1,6 +1,8 @@
 import random
+from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from factloom.llm import reading as R
@@ -46,3 +48,31 @@ def test_table_and_edges(spark):
         R.fit_table(passages, most=5)
     with pytest.raises(ValueError):
         R.fit_table(passages.where("band = 1"))
+
+
+def test_texts_scored_together_are_scored_as_one_by_one():
+    rng = random.Random(3)
+    model = R.fit([passage(rng, b) for b in (1, 3, 5) for _ in range(8)], [b for b in (1, 3, 5) for _ in range(8)])
+    texts = [passage(rng, rng.choice([1, 2, 5])) for _ in range(20)] + ["", "12", "Ada Lovelace", "cat", "unknown words, only; here: and there"]
+    for t, score in zip(texts, model.scores(texts), strict=True):
+        plain = R._plain(t)
+        words, n = R.words_of(plain)
+        x = R._features(plain, words, n, model.ids, model.words, model.pairs)
+        assert score == pytest.approx(float(((np.array(x) - model.centre) / model.spread) @ model.weights), abs=1e-9)
+
+
+DATA = "/root/testdata/sf0.001/graded_passages.parquet"
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test data")
+def test_held_out_accuracy_on_the_graded_passages():
+    passages = pd.read_parquet(DATA).sample(frac=1, random_state=5)
+    texts, bands = list(passages["text"]), list(passages["band"])
+    right = near = hard = 0
+    for k in range(5):
+        model = R.fit([t for i, t in enumerate(texts) if i % 5 != k], [b for i, b in enumerate(bands) if i % 5 != k])
+        for i in range(k, len(texts), 5):
+            got = model.band(model.score(texts[i]))
+            right, near, hard = right + (got == bands[i]), near + (abs(got - bands[i]) <= 1), hard + ((got >= 4) == (bands[i] >= 4))
+    print(right / len(texts), near / len(texts), hard / len(texts))
+    assert right / len(texts) >= 0.85 and near == len(texts) and hard / len(texts) >= 0.97
