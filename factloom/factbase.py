@@ -17,12 +17,12 @@ from factloom.operators import conflicts as K
 from factloom.operators import facts as A
 from factloom.operators import pipeline as P
 from factloom.operators.ontology import Ontology
-from factloom.sources.store import Store
+from factloom.operators.registry import ENTITIES
+from factloom.sources.backend import Backend
 
 FACTS = "seq long, fact_id string, subject_id string, predicate string, object_key string, object_json string, valid_from string, valid_to string, qualifiers_json string, confidence double, status string, recorded_at timestamp, superseded_at timestamp"
 EVIDENCE = "fact_id string, position long, source_id string, locator string, quote string, confidence double, extractor string, extracted_at timestamp"
 SOURCES = "id string, kind string, uri string, title string, retrieved_at timestamp, authority double"
-ENTITIES = "seq long, id string, label string, type string, aliases array<string>, provisional boolean"
 CONFLICTS = "seq long, conflict_id string, fact_a string, fact_b string, subject_id string, predicate string, detected_at timestamp, policy string, winner string"
 
 
@@ -41,12 +41,12 @@ class FactBase:
         return cls(*[spark.createDataFrame([], ddl) for ddl in (FACTS, EVIDENCE, SOURCES, ENTITIES, CONFLICTS)], ontology, policy)
 
     @classmethod
-    def load(cls, store: Store, policy: str = "keep_both") -> FactBase:
+    def load(cls, store: Backend, policy: str = "keep_both") -> FactBase:
         base = cls.empty(store.spark, store.ontology, policy)
         kept = {t: df for t in ("facts", "evidence", "sources", "entities", "conflicts") if (df := store.table(t)) is not None}
         return replace(base, **kept)
 
-    def save(self, store: Store) -> str:
+    def save(self, store: Backend) -> str:
         return store.commit(facts=self.facts, evidence=self.evidence, sources=self.sources, entities=self.entities, conflicts=self.conflicts)
 
     def get(self, fact_id: str) -> DataFrame:

@@ -186,15 +186,19 @@ def settle(facts: DataFrame, single_valued: DataFrame, measured: DataFrame, poli
     Rows of kind ``conflict`` (fact_a, fact_b, winner, seq_a, seq_b) and of kind
     ``superseded`` (fact_a the loser, fact_b the winner).  Facts arriving again
     change nothing.  With ``since``, facts of a seq up to it stand as they are and
-    only later ones are judged.  Rows are sorted by group and read as a stream, of which
-    only the active rivals of the current group are held.
+    only later ones are judged.  Groups that state one object only have no rivals
+    and are left out first, by a count combined on the map side.  The rest is
+    sorted by group and read as a stream, of which only the active rivals of the
+    current group are held.
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
     score = {"highest_confidence": "confidence", "highest_authority": "authority", "most_recent_evidence": "latest"}.get(policy)
     first = facts.where("subject_id is not null and fact_id is not null and status = 'active'").join(single_valued, "predicate", "left_semi")
+    group_columns = ["subject_id", "predicate"]
+    disputed = first.groupBy(*group_columns).agg(F.min("object_key").alias("low"), F.max("object_key").alias("high")).where("low <> high").select(*group_columns)
     arrivals = (
-        first.groupBy("fact_id").agg(F.min_by(F.struct("seq", "subject_id", "predicate", "object_key", "valid_from", "valid_to"), "seq").alias("f")).select("fact_id", "f.*")
+        skew_join(first, disputed, group_columns, F.col("fact_id"), "left_semi").groupBy("fact_id").agg(F.min_by(F.struct("seq", "subject_id", "predicate", "object_key", "valid_from", "valid_to"), "seq").alias("f")).select("fact_id", "f.*")
         .select("seq", "fact_id", "subject_id", "predicate", "object_key", earliest_second(F.col("valid_from")).alias("start"), earliest_second(F.col("valid_to")).alias("end"))
         .join(measured.select("fact_id", (F.col(score) if score else F.lit(None).cast("double")).alias("score")), "fact_id", "left")
     )

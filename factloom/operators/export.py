@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.temporal import precision, stripped
 from factloom.functions.terms import decode, value_type
+from factloom.operators.facts import first_seen_sources, sources_of
 from factloom.skew import skew_join
 
 
@@ -61,11 +62,12 @@ def entity_table(entities: DataFrame) -> DataFrame:
 
 
 def alias_table(entities: DataFrame) -> DataFrame:
-    """entity_id and alias, each alias of an entity once."""
-    return entities.select(F.col("id").alias("entity_id"), F.explode(F.array_distinct("aliases")).alias("alias"))
+    """entity_id and alias, each alias of an entity once, in order of both."""
+    return entities.select(F.col("id").alias("entity_id"), F.explode(F.array_distinct("aliases")).alias("alias")).orderBy("entity_id", "alias")
 
 
 def source_table(sources: DataFrame) -> DataFrame:
+    """The sources given; :func:`~factloom.operators.facts.first_seen_sources` has those that are cited."""
     return sources.select("id", "kind", "uri", "title", _iso(F.col("retrieved_at")).alias("retrieved_at"), "authority")
 
 
@@ -73,19 +75,32 @@ def conflict_table(conflicts: DataFrame) -> DataFrame:
     return conflicts.select("conflict_id", "fact_a", "fact_b", "subject_id", "predicate", _iso(F.col("detected_at")).alias("detected_at"), "policy", "winner")
 
 
-def graph_edges(facts: DataFrame, include_superseded: bool = False) -> DataFrame:
-    """Facts between entities: source, target, id, predicate, confidence, bounds, qualifiers, status."""
-    return _kept(facts, include_superseded).withColumn("t", decode(F.col("object_json"))).where("t.kind = 'ref'").select(
-        F.col("subject_id").alias("source"), F.col("t.text").alias("target"), F.col("fact_id").alias("id"), "predicate", "confidence", "valid_from", "valid_to", F.col("qualifiers_json").alias("qualifiers"), "status"
-    )
+#: What an edge or statement tells of its fact, beside its ends.
+_ABOUT = ["predicate", "confidence", "valid_from", "valid_to"]
+
+
+def _described(facts: DataFrame, evidence: DataFrame | None) -> DataFrame:
+    """Facts with ``source_ids``, the different sources of their evidence by first position; without ``evidence`` there are none."""
+    none = F.expr("CAST(array() AS ARRAY<STRING>)")
+    if evidence is None:
+        return facts.withColumn("source_ids", none)
+    return skew_join(facts, sources_of(evidence), ["fact_id"], F.col("seq"), "left").withColumn("source_ids", F.coalesce("source_ids", none))
+
 
+def _about() -> list[Column]:
+    return [F.col("fact_id").alias("id"), *map(F.col, _ABOUT), F.col("qualifiers_json").alias("qualifiers"), F.col("source_ids"), F.col("status")]
 
-def graph_statements(facts: DataFrame, include_superseded: bool = False) -> DataFrame:
+
+def graph_edges(facts: DataFrame, include_superseded: bool = False, evidence: DataFrame | None = None) -> DataFrame:
+    """Facts between entities: source, target, id, predicate, confidence, bounds, qualifiers, source_ids (of ``evidence``), status."""
+    refs = _kept(facts, include_superseded).withColumn("t", decode(F.col("object_json"))).where("t.kind = 'ref'")
+    return _described(refs, evidence).select(F.col("subject_id").alias("source"), F.col("t.text").alias("target"), *_about())
+
+
+def graph_statements(facts: DataFrame, include_superseded: bool = False, evidence: DataFrame | None = None) -> DataFrame:
     """Facts with a plain value, with all that is known of them."""
-    return _kept(facts, include_superseded).withColumn("t", decode(F.col("object_json"))).where("t.kind is null or t.kind <> 'ref'").select(
-        F.col("subject_id").alias("subject"), F.col("t.text").alias("value"), value_type(F.col("t")).alias("value_type"),
-        F.col("fact_id").alias("id"), "predicate", "confidence", "valid_from", "valid_to", F.col("qualifiers_json").alias("qualifiers"), "status",
-    )
+    plain = _kept(facts, include_superseded).withColumn("t", decode(F.col("object_json"))).where("t.kind is null or t.kind <> 'ref'")
+    return _described(plain, evidence).select(F.col("subject_id").alias("subject"), F.col("t.text").alias("value"), value_type(F.col("t")).alias("value_type"), *_about())
 
 
 def graph_nodes(facts: DataFrame, entities: DataFrame, include_superseded: bool = False) -> DataFrame:
@@ -110,9 +125,9 @@ def node_properties(facts: DataFrame, include_superseded: bool = False) -> DataF
 
 
 def tables(facts: DataFrame, evidence: DataFrame, sources: DataFrame, entities: DataFrame, conflicts: DataFrame, include_superseded: bool = True) -> dict[str, DataFrame]:
-    """All seven normalised tables by name; sources and conflicts are exported whole either way."""
+    """All seven normalised tables by name; the sources are those that any fact cites, and with the conflicts the same either way."""
     return {
-        "entities": entity_table(entities), "aliases": alias_table(entities), "sources": source_table(sources), "facts": fact_table(facts, include_superseded),
+        "entities": entity_table(entities), "aliases": alias_table(entities), "sources": source_table(first_seen_sources(facts, evidence, sources)), "facts": fact_table(facts, include_superseded),
         "evidence": evidence_table(facts, evidence, include_superseded), "qualifiers": qualifier_table(facts, include_superseded), "conflicts": conflict_table(conflicts),
     }
 
@@ -138,13 +153,14 @@ class Graph:
                 part.write.parquet(f"{folder}/{name}")
 
 
-def graph(facts: DataFrame, entities: DataFrame, mode: str = "simple", include_superseded: bool = False) -> Graph:
+def graph(facts: DataFrame, entities: DataFrame, mode: str = "simple", include_superseded: bool = False, evidence: DataFrame | None = None) -> Graph:
+    """Nodes and edges, and plain values as properties (``simple``) or statements (``full``); ``evidence`` gives edges and statements their sources."""
     if mode not in ("simple", "full"):
         raise ValueError("mode must be simple or full")
     simple = mode == "simple"
     return Graph(
-        graph_nodes(facts, entities, include_superseded), graph_edges(facts, include_superseded),
-        node_properties(facts, include_superseded) if simple else None, None if simple else graph_statements(facts, include_superseded),
+        graph_nodes(facts, entities, include_superseded), graph_edges(facts, include_superseded, evidence),
+        node_properties(facts, include_superseded) if simple else None, None if simple else graph_statements(facts, include_superseded, evidence),
     )
 
 

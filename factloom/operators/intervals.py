@@ -103,23 +103,24 @@ def periods(intervals: DataFrame, keys: Sequence[str], start: str = "start", end
         F.min(F.coalesce(F.col(start), F.lit(NO_START))).alias("first"),
         F.max(F.coalesce(F.col(end), F.lit(NO_END))).alias("last"),
     )
-    # one row per boundary at which a period begins, with the end at which the one before it stopped
-    edges = cuts.select(*group, F.col("gap_to").alias("start"), F.col("gap_from").alias("stopped")).unionByName(
-        outer.select(*group, F.col("first").alias("start"), F.lit(None).cast("long").alias("stopped"))
-    )
-    by_start = Window.partitionBy(*group).orderBy("start")
-    ended = edges.withColumn("end", F.lead("stopped").over(by_start)).withColumn("period_no", F.row_number().over(by_start))
-    return (
-        ended.join(outer, group)
-        .select(
-            *[F.col(g).alias(k) for g, k in zip(group, keys, strict=True)],
-            "period_no",
-            F.when(F.col("start") > NO_START, F.col("start")).alias("start"),
-            F.when(F.coalesce("end", "last") < NO_END, F.coalesce("end", "last")).alias("end"),
-        )
+    begin = _numbered(cuts.select(*group, F.col("gap_to").alias("t")).unionByName(outer.select(*group, F.col("first").alias("t"))), group)
+    stop = _numbered(cuts.select(*group, F.col("gap_from").alias("t")).unionByName(outer.select(*group, F.col("last").alias("t"))), group)
+    paired = begin.withColumnRenamed("t", "start").join(stop.withColumnRenamed("t", "end"), [*group, "period_no"])
+    return paired.select(
+        *[F.col(g).alias(k) for g, k in zip(group, keys, strict=True)], "period_no",
+        F.when(F.col("start") > NO_START, F.col("start")).alias("start"), F.when(F.col("end") < NO_END, F.col("end")).alias("end"),
     )
 
 
+def _numbered(times: DataFrame, group: Sequence[str]) -> DataFrame:
+    """The different times of each group with period_no, their rank: counted within a day and carried over by the days' totals."""
+    placed = times.withColumn("day", F.floor(F.col("t") / 86400))
+    days = Window.partitionBy(*group).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    carried = placed.groupBy(*group, "day").agg(F.count(F.lit(1)).alias("n")).select(*group, "day", F.coalesce(F.sum("n").over(days), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy(*group, "day").orderBy("t"))
+    return placed.withColumn("place", within).join(carried, [*group, "day"]).select(*group, "t", (F.col("place") + F.col("before")).cast("int").alias("period_no"))
+
+
 def overlap_counts(intervals: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", name: str = "n_overlapping") -> DataFrame:
     """The rows of ``intervals`` with the number of intervals of their group that share an instant with them, themselves included.
 

@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+ENTITIES = "seq long, id string, label string, type string, aliases array<string>, provisional boolean"
+
+
+def get(entities: DataFrame, entity_id: str) -> DataFrame:
+    """The entity of an id, no row if there is none; the id reaches the scan."""
+    return entities.where(F.col("id") == entity_id)
+
 
 def add(entities: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The registry with new entities, and the rows refused: an id that is null, empty, taken or given twice.

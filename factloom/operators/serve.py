@@ -17,13 +17,22 @@ SUPPORTED, CONTRADICTED, DISPUTED, UNKNOWN = "supported", "contradicted", "dispu
 
 
 @F.pandas_udf(T.StringType())
-def two_places(x: pd.Series) -> pd.Series:
-    """Two decimals, ties by the binary value."""
+def _by_binary_value(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if pd.isna(v) else f"{v:.2f}")
 
 
+def two_places(x: Column) -> Column:
+    """Two decimals, ties by the binary value.
+
+    Only what reads as a tie, such as 0.285, needs a look at its binary value in
+    Python; anything else rounds the same from its digits.
+    """
+    tie = x.cast("string").rlike(r"^-?[0-9]+\.[0-9]{2}5$")
+    return F.when(tie, _by_binary_value(F.when(tie, x))).when(x.isNotNull() & ~F.isnan(x), F.format_string("%.2f", x))
+
+
 def _labelled(rows: DataFrame, entities: DataFrame, id_: str, label: str) -> DataFrame:
-    labels = entities.where("id is not null").groupBy(F.col("id").alias(id_)).agg(F.first("label").alias(label))
+    labels = entities.where("id is not null").groupBy(F.col("id").alias(id_)).agg(F.min("label").alias(label))
     return skew_join(rows, labels, [id_], F.col("seq"), "left").withColumn(label, F.coalesce(label, id_))
 
 
@@ -55,7 +64,7 @@ def render_facts(facts: DataFrame, evidence: DataFrame, entities: DataFrame, hum
     )
     details = F.concat(
         F.coalesce(F.transform(qualifiers, lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("None")))), F.expr("CAST(array() AS ARRAY<STRING>)")),
-        F.array_compact(F.array(period, F.concat(F.lit("confidence "), two_places("confidence")), F.when(F.col("status") != "active", "superseded"))),
+        F.array_compact(F.array(period, F.concat(F.lit("confidence "), two_places(F.col("confidence"))), F.when(F.col("status") != "active", "superseded"))),
     )
     lines = shown.withColumn("details", details).select(
         "seq", "fact_id",
@@ -82,18 +91,29 @@ def source_lines(facts: DataFrame, evidence: DataFrame, sources: DataFrame) -> D
     )
 
 
-def render_text(lines: DataFrame, sources: DataFrame) -> str:
-    """The rendered facts and the list of their sources as one text for a prompt; empty for no facts."""
-    facts = [r["line"] for r in lines.orderBy("seq", "fact_id").select("line").collect()]
-    cited = [r["line"] for r in sources.orderBy("number").select("line").collect()]
+#: Most lines of a text for a prompt.
+MOST_LINES = 100_000
+
+
+def render_text(lines: DataFrame, sources: DataFrame, most: int = MOST_LINES) -> str:
+    """The rendered facts and the list of their sources as one text for a prompt; empty for no facts.
+
+    More than ``most`` lines of either are an error, not cut off: take fewer facts, or write the lines as a table.
+    """
+    parts = [df.orderBy(*order).select("line").limit(most + 1).collect() for df, order in ((lines, ("seq", "fact_id")), (sources, ("number",)))]
+    if max(map(len, parts)) > most:
+        raise ValueError(f"more than {most} lines for one text")
+    facts, cited = ([r["line"] for r in part] for part in parts)
     return "\n".join(facts + (["", "Sources:", *cited] if facts and cited else []))
 
 
 def _asked(claims: DataFrame, entities: DataFrame | None) -> DataFrame:
     """claim_id, subject_id, predicate and ``keys``, the object keys that would support the claim."""
     asked = claims.select("claim_id", "subject", "predicate", "object")
-    text = F.when(F.col("object").startswith("name:"), F.substring("object", 6, 1 << 20))
-    keys = F.when(text.isNotNull(), F.array(F.concat(F.lit("str:"), text), F.concat(F.lit("ref:"), text))).otherwise(F.array("object"))
+    # a name is text or an entity; a mention is nothing but the entity it names
+    named_text, mentioned = F.col("object").startswith("name:"), F.col("object").startswith("mention:")
+    text = F.when(named_text | mentioned, F.regexp_replace("object", "^(?:name|mention):", ""))
+    keys = F.when(named_text, F.array(F.concat(F.lit("str:"), text), F.concat(F.lit("ref:"), text))).when(mentioned, F.expr("CAST(array() AS ARRAY<STRING>)")).otherwise(F.array("object"))
     if entities is None:
         return asked.select("claim_id", F.col("subject").alias("subject_id"), "predicate", keys.alias("keys"))
     known = entities.select(F.col("id").alias("subject")).distinct().withColumn("is_id", F.lit(True))
@@ -128,7 +148,8 @@ def check_claims(claims: DataFrame, facts: DataFrame, single_valued: DataFrame,
     ``claims``: claim_id, subject (id, or a name if ``entities`` are given),
     predicate, object (a key such as ``ref:x`` or ``int:1``; ``name:x`` is a text that
     matches as string, as entity id and, with ``entities``, as the entity it
-    names).  Adds verdict, n_supporting, n_contradicting and confidence, the best
+    names; ``mention:x`` matches as that entity only, so one that names none
+    is contradicted by every value).  Adds verdict, n_supporting, n_contradicting and confidence, the best
     of the supporting facts.  Names never create entities; an ambiguous or
     unknown subject gives unknown.  ``at`` limits the facts to those valid then.
     """

@@ -125,7 +125,7 @@ def validate(
         out = out.join(ontology.predicate_table(claims.sparkSession), "predicate", "left")
         if entities is not None:
             for side, name in (("s", "subject"), ("o", "object")):
-                types = entities.where("id is not null").groupBy(F.col("id").alias(f"{side}_id")).agg(F.first("type").alias(f"{side}_type"), F.lit(True).alias(f"{side}_known"))
+                types = entities.where("id is not null").groupBy(F.col("id").alias(f"{side}_id")).agg(F.min("type").alias(f"{side}_type"), F.lit(True).alias(f"{side}_known"))
                 out = out.withColumn(f"{side}_id", F.when(F.col(name)["kind"] == "ref", F.col(name)["text"]))
                 out = skew_join(out, types, [f"{side}_id"], F.col("seq"), "left").withColumn(f"{side}_known", F.coalesce(F.col(f"{side}_known"), F.lit(False)))
         else:

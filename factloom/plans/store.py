@@ -397,9 +397,10 @@ def table_aliases(spark: SparkSession, folder: str) -> DataFrame:
     return X.alias_table(entities_of(spark, folder))
 
 
-@query(f"select id, kind, uri, title, {ISO.format(c='retrieved_at')} as retrieved_at, authority from sources")
+@query(f"""select id, kind, uri, title, {ISO.format(c='retrieved_at')} as retrieved_at, authority from sources
+where id in (select source_id from evidence where fact_id in (select fact_id from facts))""")
 def table_sources(spark: SparkSession, folder: str) -> DataFrame:
-    return X.source_table(table(spark, folder, "sources"))
+    return X.source_table(A.first_seen_sources(table(spark, folder, "facts"), table(spark, folder, "evidence"), table(spark, folder, "sources")))
 
 
 @query(f"select conflict_id, fact_a, fact_b, subject_id, predicate, {ISO.format(c='detected_at')} as detected_at, policy, winner from conflicts")
@@ -407,16 +408,22 @@ def table_conflicts(spark: SparkSession, folder: str) -> DataFrame:
     return X.conflict_table(table(spark, folder, "conflicts"))
 
 
-@query(f"""select subject_id as source, {REF} as target, fact_id as id, predicate, confidence, valid_from, valid_to, qualifiers_json as qualifiers, status
-from facts where status = 'active' and {REF} is not null""")
+@query(f"""select subject_id as source, {REF} as target, fact_id as id, predicate, confidence, valid_from, valid_to, qualifiers_json as qualifiers, coalesce(s.source_ids, '') as source_ids, status
+from facts left join (select fact_id, string_agg(source_id, '|' order by position, source_id) as source_ids
+  from (select fact_id, source_id, min(position) as position from evidence where source_id is not null group by 1, 2) group by 1) s using (fact_id)
+where status = 'active' and {REF} is not null""")
 def graph_edges(spark: SparkSession, folder: str) -> DataFrame:
-    return X.graph_edges(table(spark, folder, "facts"))
+    edges = X.graph_edges(table(spark, folder, "facts"), evidence=table(spark, folder, "evidence"))
+    return edges.withColumn("source_ids", F.array_join("source_ids", "|"))
 
 
-@query(f"""select subject_id as subject, object_json as value, 'integer' as value_type, fact_id as id, predicate, confidence, valid_from, valid_to, qualifiers_json as qualifiers, status
-from facts where status = 'active' and {REF} is null""")
+@query(f"""select subject_id as subject, object_json as value, 'integer' as value_type, fact_id as id, predicate, confidence, valid_from, valid_to, qualifiers_json as qualifiers, coalesce(s.source_ids, '') as source_ids, status
+from facts left join (select fact_id, string_agg(source_id, '|' order by position, source_id) as source_ids
+  from (select fact_id, source_id, min(position) as position from evidence where source_id is not null group by 1, 2) group by 1) s using (fact_id)
+where status = 'active' and {REF} is null""")
 def graph_statements(spark: SparkSession, folder: str) -> DataFrame:
-    return X.graph_statements(table(spark, folder, "facts"))
+    statements = X.graph_statements(table(spark, folder, "facts"), evidence=table(spark, folder, "evidence"))
+    return statements.withColumn("source_ids", F.array_join("source_ids", "|"))
 
 
 @query(f"""with ends as (select subject_id as id from facts where status = 'active' and subject_id is not null union select {REF} from facts where status = 'active' and {REF} is not null)
@@ -463,6 +470,25 @@ def checked_claims(spark: SparkSession, folder: str) -> DataFrame:
     return Q.check_claims(claims, facts, single_valued(spark, folder))
 
 
+@query(f"""with claims as (select seq as claim_id, subject_id, predicate, case when seq % 2 = 0 then 'mention:nobody at all' else object_key end as object_key
+  from facts where status = 'superseded' and subject_id is not null),
+f as (select * from facts where status = 'active' and coalesce({INSTANT.format(c="valid_from")} <= -2208988800, true) and coalesce({INSTANT.format(c="valid_to")} > -2208988800, true)),
+v as (select subject_id, predicate, object_key, count(distinct fact_id) as n, max(confidence) as best from f
+  where subject_id in (select id from entities) group by 1, 2, 3),
+c as (select claim_id, coalesce(sum(n) filter (v.object_key = claims.object_key), 0) as s,
+    coalesce(sum(n) filter (v.object_key <> claims.object_key and predicate in (select name from predicates where cardinality = 'one')), 0) as x,
+    max(best) filter (v.object_key = claims.object_key) as confidence
+  from claims left join v using (subject_id, predicate) group by 1)
+select claim_id, cast(s as bigint) as n_supporting, cast(x as bigint) as n_contradicting, confidence,
+  case when s > 0 and x > 0 then 'disputed' when s > 0 then 'supported' when x > 0 then 'contradicted' else 'unknown' end as verdict from c""")
+def checked_claims_at(spark: SparkSession, folder: str) -> DataFrame:
+    """Claims as of 1900, of which every second one names an entity that nobody bears: every value contradicts it."""
+    facts, entities = table(spark, folder, "facts"), entities_of(spark, folder)
+    stated = F.when(F.col("seq") % 2 == 0, F.lit("mention:nobody at all")).otherwise(F.col("object_key"))
+    claims = facts.where("status = 'superseded' and subject_id is not null").select(F.col("seq").alias("claim_id"), F.col("subject_id").alias("subject"), "predicate", stated.alias("object"))
+    return Q.check_claims(claims, facts, single_valued(spark, folder), entities, at="1900")
+
+
 @query("""select distinct c.seq as claim_id, e.fact_id, e.position, e.source_id from facts c join facts f
   on f.subject_id = c.subject_id and f.predicate = c.predicate and f.object_key = c.object_key and f.status = 'active' join evidence e on e.fact_id = f.fact_id
 where c.status = 'superseded'""")

@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators.ontology import Ontology
+from factloom.sources.backend import TABLES, Backend
 
 FORMAT = "1"
-TABLES = ("facts", "evidence", "sources", "entities", "conflicts")
 #: Columns that queries filter by; files are sorted by them so that Parquet statistics skip row groups.
 SORTED_BY = {"facts": ["predicate", "subject_id"], "evidence": ["fact_id"], "entities": ["id"], "conflicts": ["subject_id"], "sources": ["id"]}
 
 
-class Store:
+class Store(Backend):
     """Open or create a store; ``ontology`` is kept in it and restored when opened without one."""
 
     def __init__(self, spark: SparkSession, folder: str, ontology: Ontology | None = None) -> None:

@@ -382,3 +382,58 @@ def test_store_commits_whole_snapshots(spark, kitchen, registry, tmp_path):
         Store(spark, folder)
     with pytest.raises(KeyError):
         again.table("nothing")
+
+
+def test_mentions_of_nobody_are_contradicted_by_every_value(spark, kitchen, registry):
+    facts = kitchen[0]
+    rows = [(1, "person:franklin", "BORN_IN", "mention:Boston"), (2, "person:franklin", "BORN_IN", "mention:Atlantis"), (3, "person:franklin", "BORN_IN", "name:" + "x" * 2_000_000), (4, "person:franklin", "WORKED_AT", "mention:Atlantis")]
+    claims = spark.createDataFrame(rows, "claim_id long, subject string, predicate string, object string")
+    single = spark.createDataFrame([("BORN_IN",)], "predicate string")
+    got = {r["claim_id"]: r["verdict"] for r in Q.check_claims(claims, facts, single, registry).collect()}
+    assert got == {1: "disputed", 2: "contradicted", 3: "contradicted", 4: "unknown"}
+
+
+def test_two_places_round_like_the_binary_value(spark):
+    values = [0.285, 0.125, 0.375, 2.675, 0.004999, 1.0, 1e-9, 0.995, 1.005, 12345.675, None, float("nan")]
+    rng = random.Random(1)
+    values += [round(rng.random(), rng.randrange(1, 17)) for _ in range(500)]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(Q.two_places(F.col("v"))).collect()]
+    assert got == [None if v is None or v != v else f"{v:.2f}" for v in values]
+
+
+def test_a_text_for_a_prompt_is_bounded(spark):
+    lines = spark.createDataFrame([(i, str(i), f"- {i}") for i in range(5)], "seq long, fact_id string, line string")
+    none = spark.createDataFrame([], "number int, line string")
+    assert Q.render_text(lines, none).count("\n") == 4
+    with pytest.raises(ValueError):
+        Q.render_text(lines, none, most=4)
+
+
+def test_edges_and_statements_name_their_sources(kitchen, registry):
+    facts, evidence = kitchen[0], kitchen[1]
+    full = X.graph(facts, registry, "full", evidence=evidence)
+    cited = {r["fact_id"]: r["source_ids"] for r in A.sources_of(evidence).collect()}
+    rows = full.edges.select("id", "source_ids").unionByName(full.statements.select("id", "source_ids")).collect()
+    assert len(rows) == 4 and all(r["source_ids"] == cited[r["id"]] for r in rows) and max(len(r["source_ids"]) for r in rows) == 2
+    assert all(r["source_ids"] == [] for r in X.graph_edges(facts).collect())
+
+
+def test_a_registry_writes_through_to_its_backend(spark, tmp_path, registry):
+    from factloom.factbase import FactBase
+    from factloom.sources.backend import Backend, MemoryStore, Registry
+    from factloom.sources.store import Store
+
+    with pytest.raises(TypeError):
+        Backend()
+    for backend in (MemoryStore(spark), Store(spark, f"file://{tmp_path}/s")):
+        one = Registry(backend)
+        assert len(one) == 0 and "person:franklin" not in one
+        assert one.add(registry).count() == 0 and one.add(registry.limit(1)).count() == 1
+        one.add_aliases(spark.createDataFrame([("person:franklin", "Dr Franklin")], "id string, alias string"))
+        again = Registry(backend)
+        assert len(again) == registry.count() and "person:franklin" in again and "Dr Franklin" in again.get("person:franklin").first()["aliases"]
+        assert again.provisional().count() == 1 and FactBase.load(backend).entities.count() == len(again)
+        with pytest.raises(KeyError):
+            backend.table("other")
+        with pytest.raises(KeyError):
+            backend.commit(other=registry)
