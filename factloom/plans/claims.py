@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from factloom.functions.terms import claim_id, key, ref
 from factloom.operators import conflicts as K
 from factloom.operators import extract as E
 from factloom.operators import pipeline as P
+from factloom.operators.phrases import MONTHS
 from factloom.plans.store import entities_of, ontology_of, steady
 from factloom.sources.tables import table
 
@@ -82,9 +84,75 @@ def ingested_facts(spark: SparkSession, folder: str) -> DataFrame:
     return done.facts.select("fact_id", "subject_id", "predicate", "object_key", "valid_from", "valid_to", F.round("confidence", 6).alias("confidence"))
 
 
-QUERIES = {"stocked_by": stocked_by, "supply_conflicts": supply_conflicts, "extracted_claims": extracted_claims, "model_claims": model_claims, "ingested_facts": ingested_facts}
+WORDS = [
+    E.Pattern("BORN_IN", "{subject:word} was born in {object:word} in {valid_from:year}", "Person", "Place", 0.8),
+    E.Pattern("BORN_IN", "{subject:word} was born in {object:word}", "Person", "Place"),
+    E.Pattern("POPULATION", "{subject:word} had a population of {object:int} in {valid_from:year}", "Place", None, 0.9),
+]
+
+
+def template_claims(spark: SparkSession, folder: str) -> DataFrame:
+    """Templates with kinds; the specific one comes before the general one of its predicate."""
+    found = E.extract(table(spark, folder, "documents"), WORDS).where("error is null")
+    return found.select(
+        "doc_id", F.col("subject.text").alias("subject"), "predicate", F.col("object.kind").alias("object_kind"), F.col("object.text").alias("object"), "valid_from", "quote", "confidence"
+    )
+
+
+_MONTHS = "|".join(m.capitalize() for m in MONTHS)
+RAW = [
+    E.Pattern("BORN_IN", "(?P<subject>[A-Z][a-z]+ [A-Z][a-z]+) was born in (?P<object>[A-Z][a-z]+)", regex=True),
+    E.Pattern("DATED", f"(?P<subject>[A-Z][a-z]+) on (?P<object>(?:{_MONTHS}) [0-9]{{1,2}}, [0-9]{{4}})", regex=True, convert={"object": E.iso_date}),
+]
+
+
+def raw_pattern_claims(spark: SparkSession, folder: str) -> DataFrame:
+    """Claims of two expressions of one's own, one of them with a converter."""
+    found = E.extract(table(spark, folder, "documents"), RAW)
+    return found.select("doc_id", F.col("subject.text").alias("subject"), "predicate", F.col("object.text").alias("object"), "quote")
+
+
+def _first_words(prompt: str) -> str:
+    """A stand-in for a language model: the first word of a text begins with the second; without two words there is no claim."""
+    words = re.findall(r"[^ \n\t]+", prompt.rpartition("Text:\n")[2])
+    if len(words) < 2:
+        return "Nothing is claimed."
+    claim = {"subject": words[0], "predicate": "begins with", "object": words[1], "quote": f" {words[0]}   {words[1]}", "confidence": 0.75}
+    return f"Sure:\n```json\n{json.dumps({'claims': [claim]})}\n```"
+
+
+def whole_text_claims(spark: SparkSession, folder: str) -> DataFrame:
+    """A model is asked about each text as a whole."""
+    found = E.extract_with_model(table(spark, folder, "documents"), _first_words, max_chars=None).where("kind = 'claim'")
+    return found.select("doc_id", F.col("subject.text").alias("subject"), "predicate", F.col("object.text").alias("object"), "locator", "quote", "confidence")
+
+
+QUERIES = {"template_claims": template_claims, "raw_pattern_claims": raw_pattern_claims, "whole_text_claims": whole_text_claims, "stocked_by": stocked_by, "supply_conflicts": supply_conflicts, "extracted_claims": extracted_claims, "model_claims": model_claims, "ingested_facts": ingested_facts}
 
+# the word kind in the letters of SQL; where a run of such letters begins and ends no other letter of a word stands
+_SQL_WORD = r"([\p{L}\p{N}_''’-]+)"
+_SQL_BORN = rf"{_SQL_WORD}\s+(?i:was\s+born\s+in)\s+{_SQL_WORD}(?:\s+(?i:in)\s+(\d{{4}})\b)?"
+_SQL_SIZE = rf"{_SQL_WORD}\s+(?i:had\s+a\s+population\s+of)\s+(-?\d[\d,]*)\s+(?i:in)\s+(\d{{4}})\b"
+_RAW_BORN, _RAW_DATED = (p.template.replace("?P<subject>", "").replace("?P<object>", "") for p in RAW)
 SQL = {
+    "raw_pattern_claims": f"""
+with b as (select doc_id, unnest(regexp_extract_all(text, '{_RAW_BORN}', 0)) as quote, unnest(regexp_extract_all(text, '{_RAW_BORN}', 1)) as subject,
+    unnest(regexp_extract_all(text, '{_RAW_BORN}', 2)) as object from documents),
+d as (select doc_id, unnest(regexp_extract_all(text, '{_RAW_DATED}', 0)) as quote, unnest(regexp_extract_all(text, '{_RAW_DATED}', 1)) as subject,
+    unnest(regexp_extract_all(text, '{_RAW_DATED}', 2)) as object from documents)
+select doc_id, subject, 'BORN_IN' as predicate, object, quote from b
+union all select doc_id, subject, 'DATED', strftime(strptime(object, '%B %d, %Y'), '%Y-%m-%d'), quote from d""",
+    "whole_text_claims": r"""
+with t as (select doc_id, text, regexp_extract(text, '[^ \n\t]+[ \n\t]+[^ \n\t]+') as quote, length(regexp_extract(text, '^[ \n\t]*')) as start from documents)
+select doc_id, regexp_extract(quote, '^[^ \n\t]+') as subject, 'BEGINS_WITH' as predicate, regexp_extract(quote, '[^ \n\t]+$') as object,
+  'chars ' || start || '-' || (start + length(quote)) as locator, quote, 0.75::double as confidence from t where quote <> ''""",
+    "template_claims": rf"""
+with b as (select doc_id, unnest(regexp_extract_all(text, '{_SQL_BORN}', 0)) as quote, unnest(regexp_extract_all(text, '{_SQL_BORN}', 1)) as subject,
+    unnest(regexp_extract_all(text, '{_SQL_BORN}', 2)) as object, unnest(regexp_extract_all(text, '{_SQL_BORN}', 3)) as year from documents),
+p as (select doc_id, unnest(regexp_extract_all(text, '{_SQL_SIZE}', 0)) as quote, unnest(regexp_extract_all(text, '{_SQL_SIZE}', 1)) as subject,
+    unnest(regexp_extract_all(text, '{_SQL_SIZE}', 2)) as object, unnest(regexp_extract_all(text, '{_SQL_SIZE}', 3)) as year from documents)
+select doc_id, subject, 'BORN_IN' as predicate, 'mention' as object_kind, object, nullif(year, '') as valid_from, quote, case when coalesce(year, '') = '' then 0.7 else 0.8 end::double as confidence from b
+union all select doc_id, subject, 'POPULATION', 'integer', replace(object, ',', ''), year, quote, 0.9 from p""",
     "supply_conflicts": """
 with c as (select l_partkey as p, l_suppkey as s, cast(l_shipdate as date) as d, min(l_orderkey * 10 + l_linenumber) as seq,
     l_partkey || '/' || l_suppkey || '/' || cast(l_shipdate as date) as id from lineitem group by all)
