@@ -252,6 +252,39 @@ def verdicts(spark: SparkSession, folder: str) -> DataFrame:
     return _validated(spark, folder).groupBy("status").agg(F.count(F.lit(1)).alias("claims"))
 
 
+@query("""with c as (select facts.*, seq % 5 as form, p.name as pn, len(p.domain) as n_domain, p.value_range in (select name from entity_types) as of_entity
+  from facts left join predicates p on p.name = predicate and seq % 5 <> 0),
+x as (
+  select seq, 'predicate.empty' as rule, 'error' as severity from c where form = 0
+  union all select seq, 'object.missing', 'error' from c where form = 1
+  union all select seq, 'object.unresolved', 'warning' from c where form = 2 or form = 3 and of_entity
+  union all select seq, 'schema.unknown_predicate', 'error' from c where form <> 0 and pn is null
+  union all select seq, 'schema.domain', 'info' from c where n_domain > 0 and subject_id is not null
+  union all select seq, 'own.open_start', 'info' from c where valid_from is null
+  union all select seq, 'own.long', 'warning' from c where length(object_json) > 40)
+select seq, rule, severity, count(*) as times from x group by all""")
+def structural_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """Facts as claims with a fault by turns (blank predicate, no object, a mention, plain text), a strict ontology, no registry, and two rules of one's own."""
+    form, value = F.col("seq") % 5, decode(F.col("object_json"))
+    text = lambda kind: F.struct(F.lit(kind).alias("kind"), F.coalesce(value["text"], F.lit("")).alias("text"), F.lit(None).cast("string").alias("hint"))
+    facts = table(spark, folder, "facts")
+    claims = facts.select(
+        "seq", ref(F.col("subject_id")).alias("subject"), F.when(form == 0, "  ").otherwise(F.col("predicate")).alias("predicate"),
+        F.when(form == 2, text("mention")).when(form == 3, text("string")).when(form != 1, value).alias("object"), "valid_from", "valid_to",
+        F.expr("CAST(NULL AS MAP<STRING, STRUCT<kind: STRING, text: STRING, hint: STRING>>)").alias("qualifiers"), F.lit(0.9).alias("sure"), F.lit(1).alias("pieces"),
+        F.length("object_json").alias("size"),
+    )
+    ontology = ontology_of(spark, folder)
+    ontology.strict = True
+    rules = [
+        lambda: F.when(F.col("valid_from").isNull(), V.finding("own.open_start", V.INFO, "no start")),
+        lambda: F.when(F.col("size") > 40, V.finding("own.long", V.WARNING, "long object")),
+    ]
+    found = V.validate(claims, ontology, None, rules=rules, weighed=(F.col("sure"), F.col("pieces"))).select("seq", F.explode("findings").alias("f"))
+    named = ["predicate.empty", "object.missing", "object.unresolved", "schema.unknown_predicate", "schema.domain", "own.open_start", "own.long"]
+    return found.where(F.col("f.rule").isin(named)).groupBy("seq", F.col("f.rule").alias("rule"), F.col("f.severity").alias("severity")).agg(F.count(F.lit(1)).alias("times"))
+
+
 # Conflicts
 
 _CLAIMS = f"""
