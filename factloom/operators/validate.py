@@ -124,10 +124,12 @@ def validate(
     if ontology is not None:
         out = out.join(ontology.predicate_table(claims.sparkSession), "predicate", "left")
         if entities is not None:
+            # one aggregate of the entities, whose exchange both sides use
+            types = entities.where("id is not null").groupBy("id").agg(F.min("type").alias("type"))
             for side, name in (("s", "subject"), ("o", "object")):
-                types = entities.where("id is not null").groupBy(F.col("id").alias(f"{side}_id")).agg(F.min("type").alias(f"{side}_type"), F.lit(True).alias(f"{side}_known"))
+                of_side = types.select(F.col("id").alias(f"{side}_id"), F.col("type").alias(f"{side}_type"), F.lit(True).alias(f"{side}_known"))
                 out = out.withColumn(f"{side}_id", F.when(F.col(name)["kind"] == "ref", F.col(name)["text"]))
-                out = skew_join(out, types, [f"{side}_id"], F.col("seq"), "left").withColumn(f"{side}_known", F.coalesce(F.col(f"{side}_known"), F.lit(False)))
+                out = skew_join(out, of_side, [f"{side}_id"], F.col("seq"), "left").withColumn(f"{side}_known", F.coalesce(F.col(f"{side}_known"), F.lit(False)))
         else:
             out = out.withColumns({f"{s}_{n}": F.lit(None).cast(t) for s in "so" for n, t in (("type", "string"), ("known", "boolean"))})
         found += _ontology(ontology.strict, entities is not None)
