@@ -83,3 +83,15 @@ def test_empty(spark):
     targets = spark.createDataFrame(TARGETS, "mix_name string, source string, weight double, max_repeats long")
     assert mixing.mix(none, targets).records.count() == 0 and mixing.composition(mixing.mix(none, targets)).count() == 5
     assert mixing.mix(none, targets.limit(0)).records.count() == 0
+
+
+def test_nulls_copies_and_clashing_columns(spark, corpus):
+    """Columns that the operator makes itself may be there already; null targets and rows are left out, repeated targets count together."""
+    sized = spark.createDataFrame([*corpus, (None, "big", 5)], "doc_id long, source string, tokens long")
+    for extra in ("mix_name", "full", "rest", "start", "key", "part", "block", "at", "again", "short", "uses", "repetition"):
+        sized = sized.withColumn(extra, F.lit("x"))
+    rows = [("m", "big", 0.25, 1), ("m", "big", 0.25, 3), ("m", "mid", 0.5, None), ("m", None, 1.0, 1), (None, "big", 1.0, 1), ("m", "tiny", None, 2)]
+    targets = spark.createDataFrame(rows, "mix_name string, source string, weight double, max_repeats long").withColumn("tokens", F.lit(1))
+    got = {(r["mix_name"], r["source"]): r for r in mixing.composition(mixing.mix(sized, targets)).collect()}
+    assert set(got) == {("m", "big"), ("m", "mid"), ("m", "tiny")} and got["m", "big"]["target_share"] == 0.5 and got["m", "big"]["repeats"] == 1
+    assert got["m", "mid"]["tokens"] == 0 and got["m", "tiny"]["tokens"] == 0  # no repeat allowed, no weight

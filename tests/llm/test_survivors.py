@@ -108,3 +108,15 @@ def test_anchors_kept_from_the_model_are_found_by_it(spark):
     found = S.survivors(read("facts").where("status = 'active'"), read("evidence"), read("sources"), read("conflicts"), taken, withheld=withheld)
     rows = found.best.where(withheld & (F.col("basis") != "model")).select("fact_id", "picked").collect()
     assert len(rows) > 40 and sum(r["fact_id"] == r["picked"] for r in rows) / len(rows) >= 0.9
+
+
+def test_clashing_columns_and_too_many_sources(spark, monkeypatch):
+    t = [*tables(spark, [("f1", "g", "a", 0.9), ("f2", "g", "b", 0.1), ("f1", "g", "a", None)], [("f1", "s", "q", "p", 0.5, "2024-01-01 00:00:00"), ("f1", "gone", None, None, None, None)], [("s", 0.5), (None, 0.9)], [])]
+    for i in range(4):
+        for extra in ("value", "number", "named", "leader", "view", "truth", "basis", "stated_by", "order"):
+            t[i] = t[i].withColumn(extra, F.lit("x"))
+    (row,) = S.survivors(*t).best.collect()
+    assert (row["fact_id"], row["basis"], row["picked"]) == ("f1", "dominant", "f1")
+    monkeypatch.setattr(S, "MOST_SOURCES", 0)
+    with pytest.raises(ValueError):
+        S.survivors(*t)
