@@ -33,6 +33,8 @@ MOST_PASSAGES = 20_000
 FOLDS = 5
 #: Pseudo-passages at the middle grade behind the grade of a word or pair.
 PRIOR, PRIOR_VARIANCE = 1.0, 2.0
+#: Characters of the texts that a worker takes apart at once; a longer text is taken whole.
+TOGETHER = 1 << 20
 #: More than the different words of the passages can be.
 PAIR = 1 << 31
 
@@ -202,7 +204,12 @@ class Model:
     high: int
 
     def scores(self, texts: Sequence[str]) -> np.ndarray:
-        """The score of every text; words and pairs are graded for all texts at once."""
+        """The score of every text; words and pairs are graded for many texts at once, as many as make up ``TOGETHER`` characters."""
+        upto = np.cumsum([len(t) for t in texts])
+        parts = np.split(np.arange(len(texts)), np.flatnonzero(np.diff(upto // TOGETHER)) + 1)
+        return np.concatenate([self._scores([texts[i] for i in part]) for part in parts if len(part)] or [np.zeros(0)])
+
+    def _scores(self, texts: Sequence[str]) -> np.ndarray:
         plains = [_plain(t) for t in texts]
         parsed = [words_of(p) for p in plains]
         n = len(texts)

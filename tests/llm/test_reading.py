@@ -50,7 +50,9 @@ def test_table_and_edges(spark):
         R.fit_table(passages.where("band = 1"))
 
 
-def test_texts_scored_together_are_scored_as_one_by_one():
+@pytest.mark.parametrize("together", [1, 700, 1 << 20])
+def test_texts_scored_together_are_scored_as_one_by_one(monkeypatch, together):
+    monkeypatch.setattr(R, "TOGETHER", together)
     rng = random.Random(3)
     model = R.fit([passage(rng, b) for b in (1, 3, 5) for _ in range(8)], [b for b in (1, 3, 5) for _ in range(8)])
     texts = [passage(rng, rng.choice([1, 2, 5])) for _ in range(20)] + ["", "12", "Ada Lovelace", "cat", "unknown words, only; here: and there"]
