@@ -6,7 +6,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, lru_cache
 from typing import Any
 
 from factloom.functions.terms import literal
@@ -96,12 +96,12 @@ class Template:
             raise ValueError(f"{self.text!r} has {'; '.join(faults)}")
         return kinds
 
-    @property
+    @cached_property
     def words(self) -> list[str]:
         """What stands in every match, whatever its case."""
         return [t["fixed"] for t in self.tokens if t["fixed"]]
 
-    @property
+    @cached_property
     def expression(self) -> str:
         """Fixed words match in any case, white space matches white space, and no match begins or ends within a word."""
         holes = self.holes
@@ -111,11 +111,17 @@ class Template:
         )
         return rf"(?<![\w']){''.join(made)}(?![\w'])"
 
-    @property
+    @cached_property
     def converters(self) -> dict[str, Callable[[str], Any]]:
         return {name: KINDS[kind].convert for name, kind in self.holes.items() if KINDS[kind].convert}
 
 
+@lru_cache(maxsize=1024)
+def template_of(text: str) -> Template:
+    """The template of a text, read once in a worker."""
+    return Template(text)
+
+
 @dataclass(frozen=True)
 class Pattern:
     """A phrasing of a claim: a template, or with ``regex`` an expression with groups subject and object."""
@@ -137,13 +143,13 @@ class Pattern:
             raise ValueError(f"{self.template!r} has no group {' or '.join(sorted(lacking))}")
 
     def expression(self) -> re.Pattern:
-        return re.compile(self.template if self.regex else Template(self.template).expression)
+        return re.compile(self.template if self.regex else template_of(self.template).expression)
 
     def converters(self) -> dict[str, Callable[[str], Any]]:
-        return ({} if self.regex else Template(self.template).converters) | dict(self.convert)
+        return ({} if self.regex else template_of(self.template).converters) | dict(self.convert)
 
     def words(self) -> list[str]:
-        return [] if self.regex else Template(self.template).words
+        return [] if self.regex else template_of(self.template).words
 
 
 class Spans:
