@@ -15,6 +15,9 @@ two fragments, meet by what is left when one letter is taken out, a key that any
 two such cores have in common.  Cores that differ by a letter moved further are
 linked if they share a fragment that is kept.
 
+Joins are shuffled whatever size Spark takes their sides to have: the fragments
+of a core are many times larger than the file that they are made from.
+
 Records that say the same are one node from the start, so copies cost nothing.
 A record that leaves open what tells others apart (an initial, no middle name,
 no region) is linked only if the others agree on it.
@@ -32,7 +35,7 @@ from pyspark.sql import types as T
 from factloom.lineage import cut
 from factloom.llm import names
 from factloom.llm.components import components
-from factloom.skew import skew_join
+from factloom.skew import by_shuffle, skew_join
 
 #: Letters of the shortest suffix indexed.
 SHORTEST = 4
@@ -132,7 +135,7 @@ def _index(nodes: DataFrame) -> DataFrame:
 def _sized(index: DataFrame) -> DataFrame:
     """The index with the number of members of each block; blocks of one are gone."""
     sizes = index.groupBy("block").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    return skew_join(index, sizes, ["block"], F.col("node"))
+    return skew_join(index, by_shuffle(sizes), ["block"], F.col("node"))
 
 
 #: One slip of a core is at most two plain edits; -1 stands for more.
@@ -146,7 +149,7 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
     blocks = first.where(F.col("members") <= COMMON).unionByName(again.where(F.col("members") <= COMMON))
     # a pair meets in the block of its longest common fragment: there the next letters differ, or a core ends
     within = (
-        blocks.alias("a").join(blocks.alias("b"), "block")
+        blocks.alias("a").join(by_shuffle(blocks.alias("b")), "block")
         .where("a.node < b.node and (a.inner <> b.inner or a.inner = '')").where(_NEAR)
         .select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
     )
@@ -163,18 +166,18 @@ def _by_deletion(nodes: DataFrame, taken: DataFrame) -> DataFrame:
     Nodes that say the same but for other cores are compared with the first of
     them only; the first ones of equal or near cores are compared with each other.
     """
-    named = taken.join(nodes.select("node", "refined", "rest"), "node").select("node", "core", "rest", F.explode("refined").alias("refined"))
+    named = taken.join(by_shuffle(nodes.select("node", "refined", "rest")), "node").select("node", "core", "rest", F.explode("refined").alias("refined"))
     hubs = cut(named.groupBy("refined", "core", "rest").agg(F.min("node").alias("hub")))
-    starred = named.join(hubs, ["refined", "core", "rest"]).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    starred = named.join(by_shuffle(hubs), ["refined", "core", "rest"]).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     without = F.transform(F.sequence(F.lit(1), F.length("core")), lambda i: F.concat(F.substring("core", F.lit(1), i - 1), F.substring(F.col("core"), i + 1, F.length("core"))))
     keys = hubs.select("hub", F.explode(F.array_distinct(F.concat(F.array("core"), without))).alias("left"), "refined").select("hub", F.xxhash64("refined", "left").alias("key")).distinct()
-    met = keys.alias("x").join(keys.alias("y"), "key").where("x.hub < y.hub").select(F.col("x.hub").alias("a"), F.col("y.hub").alias("b"))
+    met = keys.alias("x").join(by_shuffle(keys.alias("y")), "key").where("x.hub < y.hub").select(F.col("x.hub").alias("a"), F.col("y.hub").alias("b"))
     return starred.unionByName(met)
 
 
 def _links(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs that agree, without those of a record that leaves open what its neighbours differ in."""
-    named = nodes.select("node", "record")
+    named = by_shuffle(nodes.select("node", "record"))
     with_a = skew_join(pairs, named.select(F.col("node").alias("a"), F.col("record").alias("ra")), ["a"], F.col("b"))
     both = skew_join(with_a, named.select(F.col("node").alias("b"), F.col("record").alias("rb")), ["b"], F.col("a"))
     agreed = cut(both.withColumn("j", _judge("ra", "rb")).where("j.agree").select("a", "b", "j.first", "j.middle", "j.region"))
@@ -189,8 +192,8 @@ def _links(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     doubtful = F.lit(False)
     for c in said:
         doubtful = doubtful | (F.coalesce(F.col(f"open_{c}"), F.lit(False)) & (F.col(c) != ""))
-    refused = skew_join(directed, open_, ["u"], F.col("v")).where(doubtful).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-    return agreed.select("a", "b").join(refused, ["a", "b"], "left_anti")
+    refused = skew_join(directed, by_shuffle(open_), ["u"], F.col("v")).where(doubtful).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    return agreed.select("a", "b").join(by_shuffle(refused), ["a", "b"], "left_anti")
 
 
 def variants(entities: DataFrame, lexicon: names.Lexicon | None = None) -> DataFrame:
@@ -204,21 +207,21 @@ def variants(entities: DataFrame, lexicon: names.Lexicon | None = None) -> DataF
     learnt from the table (:func:`learn`).  Jobs run while the result is built.
     """
     records = cut(read_names(entities.where("id is not null").select("id", "seq", "type", "label", "aliases_json"), "id", lexicon or learn(entities)))
-    seqs = entities.select("id", "seq")
+    seqs = by_shuffle(entities.select("id", "seq"))
     read = records.where("record is not null").select("id", "record").join(seqs, "id")
     nodes = cut(
         records.where("record is not null").join(seqs, "id").groupBy("record")
         .agg(F.min("seq").alias("node"), F.first("cores").alias("cores"), F.first("refined").alias("refined"), F.first("rest").alias("rest"))
     )
-    members = cut(skew_join(read, nodes.select("record", "node"), ["record"], F.col("id")).select("id", "node"))
+    members = cut(skew_join(read, by_shuffle(nodes.select("record", "node")), ["record"], F.col("id")).select("id", "node"))
     clusters = components(_links(nodes, candidate_pairs(nodes)))
-    placed = members.join(clusters, "node", "left").select("id", F.coalesce("component", "node").alias("cluster"))
+    placed = members.join(by_shuffle(clusters), "node", "left").select("id", F.coalesce("component", "node").alias("cluster"))
     sizes = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return skew_join(placed, sizes, ["cluster"], F.col("id")).select("id", "cluster", "size")
+    return skew_join(placed, by_shuffle(sizes), ["cluster"], F.col("id")).select("id", "cluster", "size")
 
 
 def pairs_of(clustered: DataFrame) -> DataFrame:
     """Every pair of ids of a cluster, id_a < id_b: as many as the clusters' sizes imply."""
     left = clustered.select(F.col("id").alias("id_a"), "cluster")
     right = clustered.select(F.col("id").alias("id_b"), "cluster")
-    return skew_join(left, right, ["cluster"], F.col("id_a")).where("id_a < id_b").select("id_a", "id_b")
+    return skew_join(left, by_shuffle(right), ["cluster"], F.col("id_a")).where("id_a < id_b").select("id_a", "id_b")

@@ -39,6 +39,16 @@ def skew_join(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], spread:
     return rows.join(per_key, list(keys), how) if adaptive else salted_join(rows, per_key, keys, spread, how)
 
 
+def by_shuffle(side: DataFrame) -> DataFrame:
+    """``side`` for a join that sorts and shuffles both sides, whatever size Spark takes them to have.
+
+    Spark takes a scan to be as large as its compressed file, and exploded rows
+    as large as what they are made from.  A side that is a hundred times larger
+    then counts as small, and the driver collects it for a broadcast.
+    """
+    return side.hint("merge")
+
+
 #: Rows from which a key counts as hot, and the most keys treated so: any other key has at most a thousandth of all rows.
 HOT, MOST_HOT = 50_000, 1_000
 

@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+import factloom.llm.components as C
 from factloom.llm import names as N
 from factloom.llm import variants as V
 from factloom.llm.components import components
@@ -153,6 +154,17 @@ def test_a_hot_name_is_one_node_and_one_cluster(spark):
     assert max(sizes) >= 396
 
 
+def test_no_side_is_broadcast_for_the_size_of_its_file(spark, monkeypatch):
+    """Fragments are many times larger than the file they come from, by which Spark would choose."""
+    plans, cut = [], V.cut
+    note = lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or df
+    for module in (V, C):
+        monkeypatch.setattr(module, "cut", lambda df: cut(note(df)))
+    rows = [(i, f"id{i}", f"Henry {w}", "Person", None, False) for i, w in enumerate("Mumujashombrik Mumujashombri Mumujashonbrik Trelovagat".split())]
+    assert note(V.pairs_of(V.variants(spark.createDataFrame(rows, SCHEMA)))).count() == 3
+    assert sum("SortMergeJoin" in p for p in plans) >= 8 and not any("BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p for p in plans)
+
+
 def test_longest_common_subsequence():
     def plain(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
